@@ -54,12 +54,12 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
-    """Ranges of rows that hold at most `most` bytes, or one row."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 30):
+    """Ranges of at most `rows` rows that hold at most `most` bytes, or one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, max(j, i + 1), i + rows)
         yield i, j
         i = j
 
@@ -131,3 +131,34 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((np.asarray(bounds) * size).astype(np.int32)), pa.py_buffer(data)])
     raw = data.view(np.uint8)
     return pa.array([raw[a * size : b * size].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
+def _letter_table() -> np.ndarray:
+    t = LOWER.copy()
+    keep = np.zeros(256, bool)
+    keep[97:123] = True
+    keep[128:] = True
+    t[~keep] = 0x20
+    return t
+
+
+LETTERS = _letter_table()
+
+
+def byte_ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], width: int) -> np.ndarray:
+    """Rows x width: log counts of hashed n-grams of bytes (letters lower-cased, all else in ASCII a blank), each row of length 1."""
+    base, n_rows = offsets[0], len(offsets) - 1
+    part = LETTERS[data[base : offsets[-1]]].astype(np.uint32)
+    row = np.repeat(np.arange(n_rows), np.diff(offsets))
+    out = np.zeros(n_rows * width, np.float32)
+    code = part.copy()
+    for n in range(1, max(sizes) + 1):
+        if n > 1:
+            code = code[:-1] * np.uint32(0x01000193) ^ part[n - 1 :] if len(code) else code
+        if n in sizes and len(code):
+            ok = row[: len(code)] == row[n - 1 :]
+            h = code[ok] * np.uint32(0x9E3779B1 + 2 * n)
+            h = (h ^ (h >> np.uint32(15))) & np.uint32(width - 1)
+            out += np.bincount(row[: len(code)][ok] * width + h, minlength=len(out))
+    x = np.log1p(out.reshape(n_rows, width))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
