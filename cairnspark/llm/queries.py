@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .runtime import read
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs), {"doc_id": F.col("doc_id")})
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -17,6 +24,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.link_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
@@ -34,7 +56,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_language_id": op5_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
