@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import read
 
 
+#: The old layout that resharding starts from: whole sources, by their hash, in this many shards.
+OLD_SHARDS = 6
+
+
+def old_layout() -> Column:
+    return F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8")), F.lit(OLD_SHARDS)).cast("int")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.placed(read(spark, sf_dir, "documents")).select("doc_id", "source", "phase", "block", "slot", "position")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -39,6 +53,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    placed = sharding.place(read(spark, sf_dir, "documents"), old_layout(), old_shards=OLD_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
@@ -56,10 +77,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
+    "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
