@@ -53,6 +53,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id, lm_score
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.held_out(F.col("doc_id"), 2, 7)
+    model = lm_score.train(docs.where(~held_out))
+    return lm_score.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -82,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
+    "op7_lm_score": op7_lm_score,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
