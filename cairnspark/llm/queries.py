@@ -53,6 +53,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id, lm_score
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
+    "op6_neighbours": op6_neighbours,
     "op7_lm_score": op7_lm_score,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
