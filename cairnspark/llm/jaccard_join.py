@@ -28,7 +28,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -224,7 +224,7 @@ def trie_pairs(members: list[tuple], token, percent: int, cross: bool = False):
 
 
 def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, text_hash, n_shingles, cls (equal for equal sets), component_id (the smallest id linked, directly or not)."""
+    """One row for each row: id, text_hash, n_shingles, cls (equal for equal sets), comp (equal for linked rows; null without shingles), component_id (the smallest id linked, directly or not)."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
@@ -360,6 +360,27 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     # 4. a group's id, by class, then for every row
     of_class = classes.select("cls", "least_id").join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_class = written(of_class.join(least, "comp").select("cls", "component_id"), "groups")
+    of_class = written(of_class.join(least, "comp").select("cls", "comp", "component_id"), "groups")
     out = rows.join(of_class, "cls", "left")
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").cast("long").alias("n_shingles"), "cls", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").cast("long").alias("n_shingles"), "cls", "comp", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_each(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each linked group: that of the smallest id (nulls last); rows without shingles all stay. Columns as they are."""
+    names = docs.columns
+    inside = [f"c{i}" for i in range(len(names))]
+    own = docs.toDF(*inside)
+    id_in, text_in = (inside[names.index(c)] for c in (id_col, text_col))
+    linked = link_groups(own, k, percent, id_in, text_in)
+    first = linked.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col(id_in).isNull().alias("no_id"), F.col(id_in).alias("id"), "text_hash")).alias("x"))
+    keep = written(first.select(F.coalesce("x.id", F.lit(0)).alias("_id"), F.col("x.no_id").alias("_no_id"), F.col("x.text_hash").alias("_hash")), "kept")
+    n = keep.count()
+    again = linked.where("comp IS NOT NULL").groupBy(id_in, "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    # texts without a word have no shingle
+    no_words = F.trim(F.translate(F.coalesce(F.col(text_in).cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+    keyed = own.select("*", F.coalesce(F.col(id_in).cast("long"), F.lit(0)).alias("_id"), F.col(id_in).isNull().alias("_no_id"), F.xxhash64(F.col(text_in).cast("string")).alias("_hash"), no_words.alias("_none"))
+    on = ["_id", "_no_id", "_hash"]
+    with_words = keyed.where(~F.col("_none")).join(F.broadcast(keep) if n <= BROADCAST_IDS else keep, on, "left_semi")
+    if not again:  # repeated rows: the first of equal keys
+        with_words = with_words.withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0)))).where("_nth = 1")
+    return with_words.select(*inside).unionAll(keyed.where("_none").select(*inside)).toDF(*names)

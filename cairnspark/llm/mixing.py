@@ -6,8 +6,9 @@ slots of one block. Of the blocks released, each slot takes the one with the ear
 deadline is missed, so after any number of slots every source deviates from its target by less than one block.
 
 Weights are whole quanta of 1/W, so a schedule repeats after W slots; only one period is computed, on the driver, however
-many blocks there are, and a row's place follows from its source and number. When a source runs out, a new phase begins
-with the others' weights scaled to sum to 1; so every row is placed exactly once.
+many blocks there are, and a row's slot follows from its source and number. A source that has run out leaves its slots
+empty, which keeps the others within a block of their targets to each other; positions number the rows that are there,
+so every row is placed exactly once.
 
 Defined cases. Null source: the source "". Sources that have no target get the smallest target; with no targets at all,
 weights are the square roots of the sources' row counts. Null ids and texts: ordinary rows. Repeated rows: a place each.
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from .numbering import in_blocks
 from .runtime import partitions, ship, written
 
-BLOCK_ROWS = 64
+BLOCK_ROWS = 16
 QUANTA = 1_000
-MAX_SOURCES = 10_000
+MAX_SOURCES = 2_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -45,7 +46,7 @@ def quantised(weights: list[float], quanta: int) -> list[int]:
     return out
 
 
-def period(shares: list[int]) -> list[list[int]]:
+def period(shares: list[int]) -> list[np.ndarray]:
     """For each source, the slots of its blocks within one period of sum(shares) slots, earliest deadline first."""
     total = sum(shares)
     places: list[list[int]] = [[] for _ in shares]
@@ -61,46 +62,37 @@ def period(shares: list[int]) -> list[list[int]]:
         places[i].append(t)
         if len(places[i]) < shares[i]:
             heapq.heappush(waiting, (len(places[i]) * total // shares[i], i))
-    return places
+    return [np.array(p, np.int64) for p in places]
 
 
 @dataclass
-class Phase:
-    first_slot: int
-    first_row: int
-    slots: int
-    shares: dict[int, int]
-    places: dict[int, np.ndarray]
-    begins: dict[int, int]  # the first block of each source in this phase
-
-
-def plan(rows: list[int], weights: list[float], block_rows: int = BLOCK_ROWS, quanta: int = QUANTA) -> list[Phase]:
-    """The phases that place all blocks of sources with these row counts."""
-    left = {i: -(-n // block_rows) for i, n in enumerate(rows) if n}
-    done = dict.fromkeys(left, 0)
-    phases, slot, row = [], 0, 0
-    while left:
-        names = sorted(left)
-        shares = quantised([weights[i] for i in names], max(quanta, 50 * len(names)))
-        total = sum(shares)
-        places = {i: np.array(p) for i, p in zip(names, period(shares))}
-        share = dict(zip(names, shares))
-        finish = {i: (left[i] - 1) // share[i] * total + int(places[i][(left[i] - 1) % share[i]]) for i in names}
-        last = min(names, key=lambda i: finish[i])
-        slots = finish[last] + 1
-        phases.append(Phase(slot, row, slots, share, places, {i: done[i] for i in names}))
-        for i in names:
-            take = slots // total * share[i] + int(np.searchsorted(places[i], slots % total))
-            row += min(rows[i], (done[i] + take) * block_rows) - done[i] * block_rows
-            done[i] += take
-            left[i] -= take
-        left = {i: n for i, n in left.items() if n}
-        slot += slots
-    return phases
+class Plan:
+    rows: list[int]
+    block_rows: int
+    shares: list[int]
+    places: list[np.ndarray]
+
+    @classmethod
+    def of(cls, rows: list[int], weights: list[float], block_rows: int = BLOCK_ROWS, quanta: int = QUANTA) -> "Plan":
+        shares = quantised(weights, max(quanta, 50 * len(rows))) if rows else []
+        return cls(rows, block_rows, shares, period(shares))
+
+    def slots(self, source: int, block: np.ndarray) -> np.ndarray:
+        """The slot of each block of a source."""
+        return block // self.shares[source] * sum(self.shares) + self.places[source][block % self.shares[source]]
+
+    def rows_before(self, slot: np.ndarray) -> np.ndarray:
+        """How many rows the slots before each of these hold."""
+        total = sum(self.shares)
+        cycle, rest = slot // total, slot % total
+        out = np.zeros(len(slot), np.int64)
+        for n, share, places in zip(self.rows, self.shares, self.places):
+            out += np.minimum(n, (cycle * share + np.searchsorted(places, rest)) * self.block_rows)
+        return out
 
 
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, text_hash, source, seq (its number in its source), phase, block, slot, position (gapless from 0)."""
+    """One row for each row: id, text_hash, source, seq (its number in its source), block, slot, position (gapless from 0)."""
     spark = docs.sparkSession
     ship(spark)
     narrow = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")), "sources")
@@ -113,7 +105,7 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
         target = [weights.get(s, least) for s in names]
     else:
         target = [sqrt(counts[s]) for s in names]
-    phases = plan([counts[s] for s in names], target, block_rows)
+    plan = Plan.of([counts[s] for s in names], target, block_rows)
     numbered, blocks = in_blocks(narrow, "source", ["id", "text_hash"])
     offsets, before, last = [], 0, None
     for r in blocks:
@@ -121,32 +113,21 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
         offsets.append((r["source"], r["block"], before))
         before, last = before + r["n"], r["source"]
     index = {s: i for i, s in enumerate(names)}
-    starts = {i: np.array([p.begins[i] for p in phases if i in p.begins]) for i in range(len(names))}
-    own = {i: [k for k, p in enumerate(phases) if i in p.begins] for i in range(len(names))}
 
     def run(batches):
         for b in batches:
-            source = b.column(2).to_pylist()
             seq = b.column(3).to_numpy(zero_copy_only=False)
-            i = np.array([index[s] for s in source], np.int64)
-            phase, slot, position = (np.zeros(len(i), np.int64) for _ in range(3))
-            block = seq // block_rows
-            for k in np.unique(i):
-                at = np.flatnonzero(i == k)
-                which = np.searchsorted(starts[k], block[at], side="right") - 1
-                for w in np.unique(which):
-                    p = phases[own[k][w]]
-                    here = at[which == w]
-                    j = block[here] - p.begins[k]
-                    inside = j // p.shares[k] * sum(p.shares.values()) + p.places[k][j % p.shares[k]]
-                    phase[here] = own[k][w]
-                    slot[here] = p.first_slot + inside
-                    position[here] = p.first_row + inside * block_rows + seq[here] % block_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(phase.astype(np.int32)), pa.array(block), pa.array(slot), pa.array(position)], [*b.schema.names, "phase", "block", "slot", "position"])
+            own = np.array([index[s] for s in b.column(2).to_pylist()], np.int64)
+            block, slot = seq // block_rows, np.zeros(len(seq), np.int64)
+            for i in np.unique(own):
+                slot[own == i] = plan.slots(i, block[own == i])
+            each, back = np.unique(slot, return_inverse=True)
+            position = plan.rows_before(each)[back] + seq % block_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(slot), pa.array(position)], [*b.schema.names, "block", "slot", "position"])
 
     table = spark.createDataFrame(offsets, "source string, block int, before long")
     seq = numbered.join(F.broadcast(table), ["source", "block"]).select("id", "text_hash", "source", (F.col("before") + F.col("rn")).alias("seq"))
-    return seq.mapInArrow(run, "id long, text_hash long, source string, seq long, phase int, block long, slot long, position long").withColumnRenamed("id", id_col)
+    return seq.mapInArrow(run, "id long, text_hash long, source string, seq long, block long, slot long, position long").withColumnRenamed("id", id_col)
 
 
 def by_row(docs: DataFrame, given: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:

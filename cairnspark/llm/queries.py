@@ -21,7 +21,7 @@ def old_layout() -> Column:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    return mixing.placed(read(spark, sf_dir, "documents")).select("doc_id", "source", "phase", "block", "slot", "position")
+    return mixing.placed(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "position")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,8 +68,12 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "bytes", cost: Sequence[Sequence[float]] | None = None, old_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, text_hash, size, text_crc32, old_shard, shard, slot (gapless from 0 in its shard)."""
+def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "bytes", cost: Sequence[Sequence[float]] | None = None, old_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
+    """One row for each row: id, text_hash, size, text_crc32, old_shard, shard, slot (gapless from 0 in its shard).
+
+    With `order`, a row's number from 0 in its old shard, rows are laid out and slots follow in that order (but for the
+    largest rows, which come first); without, in an order by hash.
+    """
     if law not in ("bytes", "rows"):
         raise ValueError(f"no law {law!r}")
     spark = docs.sparkSession
@@ -79,6 +83,7 @@ def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "
         docs.select(
             F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.pmod(F.coalesce(old_shard.cast("int"), F.lit(0)), F.lit(old_shards)).alias("old_shard"),
+            *([order.cast("long").alias("place")] if order is not None else []),
         ).withColumn("w", F.col("size") if law == "bytes" else F.lit(1).cast("long")), "rows")
     sizes = {r["old_shard"]: r["w"] for r in rows.groupBy("old_shard").agg(F.sum("w").alias("w")).collect()}
     supply = [sizes.get(i, 0) for i in range(old_shards)]
@@ -86,14 +91,14 @@ def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "
     cost = cost or [[0 if i == j else 1 for j in range(shards)] for i in range(old_shards)]
 
     # the largest rows, one by one
-    order = [F.desc("w"), F.asc("old_shard"), F.asc_nulls_first("id"), F.asc("text_hash")]
+    by_size = [F.desc("w"), F.asc("old_shard"), F.asc_nulls_first("id"), F.asc("text_hash")]
     least = None
     if law == "bytes":
         n_rows = rows.count()
         top = rows.orderBy(F.desc("w")).select("w").limit(min(LARGE, n_rows // 2) + 1).collect()
         least = top[-1]["w"] if top else None
     slots = [0] * shards
-    large = rows.where(F.col("w") > least).withColumn("rank", F.row_number().over(Window.orderBy(*order))) if least is not None else None  # fewer than LARGE rows
+    large = rows.where(F.col("w") > least).withColumn("rank", F.row_number().over(Window.orderBy(*by_size))) if least is not None else None  # fewer than LARGE rows
     large_at = []
     if large is not None:
         for r in large.select("rank", "w", "old_shard").orderBy("rank").collect():
@@ -115,7 +120,7 @@ def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "
     flow = min_cost_flow(supply, room, cost)
 
     small = rows.where(F.col("w") <= least) if least is not None else rows
-    numbered, blocks = in_blocks(small, "old_shard", ["id", "text_hash"], ["w"])
+    numbered, blocks = in_blocks(small, "old_shard", ["id", "text_hash"], ["w"], place="place" if order is not None else None)
     offsets, before, last = [], 0, None
     for b in blocks:
         before = 0 if b["old_shard"] != last else before
@@ -150,14 +155,14 @@ def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def resharded(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 50_000, old_shards: int | None = None) -> DataFrame:
+def resharded(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 50_000, old_shards: int | None = None, order: Column | None = None, cost: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """All rows of `docs` with their columns and then shard and slot (shard_ and slot_ if those are taken), dealt out so that a shard's rows lie in files of their own, in order."""
     names = docs.columns
     inside = [f"c{i}" for i in range(len(names))]
-    own = docs.withColumn("_old_shard_", old_shard).toDF(*inside, "_old_shard_")
+    own = docs.select("*", old_shard.alias("_old_"), (order if order is not None else F.lit(None)).alias("_at_")).toDF(*inside, "_old_", "_at_")
     ids = [inside[names.index(c)] for c in (id_col, text_col)]
-    given = place(own, F.col("_old_shard_"), shards, law, old_shards=old_shards, id_col=ids[0], text_col=ids[1])
-    out = by_row(own.drop("_old_shard_"), given, ids[0], ids[1], ["shard", "slot"])
+    given = place(own, F.col("_old_"), shards, law, cost, old_shards, ids[0], ids[1], F.col("_at_") if order is not None else None)
+    out = by_row(own.drop("_old_", "_at_"), given, ids[0], ids[1], ["shard", "slot"])
     out = out.repartition("_v_shard", F.floor(F.col("_v_slot") / rows_per_file)).sortWithinPartitions("_v_shard", "_v_slot")
     new = ["shard", "slot"]
     for i in range(2):
