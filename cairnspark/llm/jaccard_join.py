@@ -5,8 +5,9 @@ Two texts link when 100 * |intersection| >= percent * |union| of their sets of k
 1. One scan gives each text its set's size and 128-bit fingerprint. Texts with equal sets form a class, which stands
    for its copies from here on. The scan also counts shingles in 2**16 cells; a shingle's place in the global order is
    (its cell's count, its hash), so what many texts share comes last.
-2. Near copies are gathered cheaply first: classes that share one of their SEEDS smallest hashes propose one partner each
-   (the one with most seeds in common); proposals are checked on whole sets, and true ones joined into components.
+2. Near copies are gathered cheaply first: classes that share one of their SEEDS smallest hashes propose up to
+   PROPOSALS partners each, those with most seeds in common; proposals are checked on whole sets, and true ones joined
+   into components.
 3. The join. By the prefix bound, two linked sets share a shingle among the first n - ceil(t*n) + 1 of both. Prefix
    shingles that classes of two different components have make up each class's reduced list. Under each shared shingle
    the lists that go on from it are stored in a trie; each list walks the trie once, so that partial overlaps are shared
@@ -38,6 +39,8 @@ from .runtime import forget, partitions, ship, written
 SEEDS = 8
 CELL_BITS = 16
 BLOCK = 1024
+STAR = 2048
+PROPOSALS = 3
 BROADCAST_IDS = 1_000_000
 
 
@@ -138,46 +141,62 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link. Each a's set meets its partners' sets in cells of at most about STAR of them."""
 
     def run(batches):
+        key, x = None, None
         for b in batches:
             keep = []
-            last, x = None, None
-            for at in range(b.num_rows):
-                ta, tb = b.column(2)[at].as_py(), b.column(3)[at].as_py()
-                if ta is not last:
-                    last, x = ta, np.frombuffer(ta, np.uint64)
-                y = np.frombuffer(tb, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
+            for at, (cell, ta) in enumerate(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(3))):
+                tokens = np.frombuffer(ta.as_buffer(), np.uint64)
+                if cell != key:  # the first of a cell is a's own set
+                    key, x = cell, tokens.copy()
+                    continue
+                small, large = (x, tokens) if len(x) <= len(tokens) else (tokens, x)
                 if 100 * len(small) < percent * len(large):
                     continue
                 spot = np.searchsorted(large, small)
                 spot[spot == len(large)] = 0
-                if int((large[spot] == small).sum()) >= needed(len(x), len(y), percent):
+                if int((large[spot] == small).sum()) >= needed(len(small), len(large), percent):
                     keep.append(at)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["a", "b"]).take(pa.array(keep, pa.int32()))
 
-    sa = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    sb = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(sb, "b").join(sa, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("cells"))
+    own = sizes.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(None).cast("long").alias("b"), "tokens")
+    theirs = pairs.select("a", "b").join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell"), "b")
+    theirs = theirs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "cell", "b", "tokens")
+    return own.unionByName(theirs).repartition(partitions(pairs.sparkSession), "a", "cell").sortWithinPartitions("a", "cell", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
 class Trie:
-    """Ordered lists of shingles; a node knows the least it takes to reach the bound with any set below it."""
+    """Ordered lists of shingles; a node holds the shingles that all lists below it go on with, and bounds for all of them."""
 
-    __slots__ = ("children", "ends", "least_n", "most_rest", "depth")
+    __slots__ = ("edge", "children", "ends", "least_n", "most_rest", "depth")
 
-    def __init__(self):
-        self.children, self.ends, self.least_n, self.most_rest, self.depth = {}, [], 1 << 62, 0, 0
+    def __init__(self, edge: tuple = (), n: int = 1 << 62, rest: int = 0, depth: int = 0):
+        self.edge, self.children, self.ends, self.least_n, self.most_rest, self.depth = edge, {}, [], n, rest, depth
 
     def add(self, path: tuple, item, n: int, rest: int) -> None:
-        node, left = self, len(path)
-        node.note(n, rest, left)
-        for t in path:
-            node = node.children.setdefault(t, Trie())
-            left -= 1
-            node.note(n, rest, left)
+        node = self
+        node.note(n, rest, len(path))
+        while path:
+            child = node.children.get(path[0])
+            if child is None:
+                child = node.children[path[0]] = Trie(path, n, rest, 0)
+                child.ends.append(item)
+                return
+            edge = child.edge
+            k, most = 1, min(len(edge), len(path))
+            while k < most and edge[k] == path[k]:
+                k += 1
+            if k < len(edge):  # part of the edge is shared: it becomes a node above
+                above = Trie(edge[:k], child.least_n, child.most_rest, child.depth + len(edge) - k)
+                child.edge = edge[k:]
+                above.children[edge[k]] = child
+                node.children[path[0]] = child = above
+            path = path[k:]
+            child.note(n, rest, len(path))
+            node = child
         node.ends.append(item)
 
     def note(self, n: int, rest: int, left: int) -> None:
@@ -185,41 +204,34 @@ class Trie:
 
     def walk(self, path: tuple, n: int, rest: int, percent: int):
         """(item, shared) for all lists below that may still link with this one of a set of n; shared counts from 1, the group's own shingle."""
-        stack = [(self, 0, 1)]
-        spots = {t: i for i, t in enumerate(path)}
+        own = set(path)
+        floor = -(-percent * n // 100)
+        stack = [(self, 1, len(path))]
         while stack:
-            node, at, shared = stack.pop()
-            least = max(node.least_n, -(-percent * n // 100))
-            if shared + min(len(path) - at, node.depth) + max(rest, node.most_rest) < needed(n, least, percent):
+            node, shared, left = stack.pop()
+            # what may still come: below this node, from this list, and after the prefixes
+            if shared + min(left, node.depth) + max(rest, node.most_rest) < needed(n, max(node.least_n, floor), percent):
                 continue
             for item in node.ends:
                 yield item, shared
-            for t, child in node.children.items():
-                i = spots.get(t)
-                if i is not None and i >= at:
-                    stack.append((child, i + 1, shared + 1))
-                else:
-                    stack.append((child, at, shared))
-
-
-def trie_pairs(members: list[tuple], token, percent: int, cross: bool = False):
-    """Candidate pairs under one shared shingle. members: (cls, comp, n, list of shingles in order, side); with cross=True, pairs of different sides only."""
-    trie, before = Trie(), {}
-    pairs = []
-    for cls, comp, n, tokens, side in sorted(members, key=lambda m: (m[4], m[2], m[0])):
-        at = tokens.index(token)
-        path, rest = tuple(tokens[at + 1 :]), n - prefix_length(n, percent)
-        before[cls] = set(tokens[:at])
+            for child in node.children.values():
+                both = sum(map(own.__contains__, child.edge))
+                stack.append((child, shared + both, left - both))
+
+
+def trie_pairs(members: list[tuple], percent: int, cross: bool = False):
+    """Candidate pairs under one shared shingle. members: (cls, comp, n, what follows the shingle in its list, side); with cross=True, pairs of different sides only."""
+    trie, pairs = Trie(), []
+    for cls, comp, n, path, side in sorted(members, key=lambda m: (m[4], m[2], m[0])):
+        rest = n - prefix_length(n, percent)
         if not cross or side:
-            for (other, other_comp, m, _), shared in trie.walk(path, n, rest, percent):
-                if other_comp == comp or other == cls or 100 * min(n, m) < percent * max(n, m):
-                    continue
-                if shared + max(rest, m - prefix_length(m, percent)) < needed(n, m, percent):
+            for (other, other_comp, m), shared in trie.walk(path, n, rest, percent):
+                if other_comp == comp or 100 * min(n, m) < percent * max(n, m):
                     continue
-                if before[cls].isdisjoint(before[other]):
+                if shared + max(rest, m - prefix_length(m, percent)) >= needed(n, m, percent):
                     pairs.append((min(cls, other), max(cls, other)))
         if not cross or not side:
-            trie.add(path, (cls, comp, n, side), n, rest)
+            trie.add(path, (cls, comp, n), n, rest)
     return pairs
 
 
@@ -237,12 +249,14 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     order = spark.sparkContext.broadcast(cells.reshape(-1))
 
     classes = written(scanned.where("slice IS NULL AND n > 0").groupBy("cls", "check", "n").agg(F.min("text_hash").alias("rep"), F.first("seeds").alias("seeds"), F.min("id").alias("least_id")), "classes")
-    # 2. near copies by seeds: one proposal for each class
+    # 2. near copies by seeds: a few proposals for each class
     seeds = classes.select("cls", "n", F.explode("seeds").alias("seed"))
-    heads = seeds.groupBy("seed").agg(F.min("cls").alias("head"), F.min_by("n", "cls").alias("m"), F.count("*").alias("size")).where("size > 1")
-    near = seeds.join(heads, "seed").where((F.col("cls") != F.col("head")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    best = near.groupBy("cls", "head").agg(F.count("*").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "head")).alias("x"))
-    proposed = written(best.select(F.least("cls", "x.head").alias("a"), F.greatest("cls", "x.head").alias("b")).distinct(), "proposed")
+    head = lambda i: F.min_by(F.struct(F.col("cls").alias("head"), F.col("n").alias("m")), F.xxhash64("cls", F.lit(i)))
+    heads = seeds.groupBy("seed").agg(F.array_distinct(F.array(*[head(i) for i in range(PROPOSALS)])).alias("heads"), F.count("*").alias("size")).where("size > 1")
+    near = seeds.join(heads.drop("size"), "seed").select("cls", "n", F.explode("heads").alias("h")).select("cls", "n", "h.head", "h.m").where((F.col("cls") != F.col("head")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    best = near.groupBy("cls", "head").agg(F.count("*").alias("c")).groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "head")), False), 1, PROPOSALS).alias("x"))
+    best = best.select("cls", F.explode("x.head").alias("head"))  # a class has SEEDS * PROPOSALS heads at most
+    proposed = written(best.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct(), "proposed")
     sets = _whole_sets(texts, proposed.select(F.col("a").alias("cls")).union(proposed.select("b")).distinct(), classes, k)
     links = written(_verified(proposed, sets, percent), "links")
     forget(sets, proposed)
@@ -277,7 +291,7 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
                 cls, _ = _class_ids(s, bounds)
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(j - i), n)
-                at = np.lexsort((s, cell_counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], row))
+                at = np.lexsort((s.view(np.int64), cell_counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], row))
                 place = np.arange(len(s)) - bounds[row]
                 ok = place < prefix_length(n, percent)[row]
                 held.append((s[at][ok], cls[row[ok]], n[row[ok]].astype(np.int32)))
@@ -303,50 +317,43 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
         many = np.zeros(len(tokens), bool)
         many[1:] |= same
         many[:-1] |= same
+        cell = order.value[(tokens[many] >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
         tokens, cls, n = tokens[many].view(np.int64), cls[many], n[many]
         for i in range(0, len(tokens), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (tokens, cls, n)], ["token", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (tokens, cls, n, cell)], ["token", "cls", "n", "cell"])
 
-    postings = texts.select("text").mapInArrow(prefixes, "bucket int, tokens binary, cls binary, n binary").repartition(parts, "bucket").mapInArrow(shared, "token long, cls long, n int")
+    postings = texts.select("text").mapInArrow(prefixes, "bucket int, tokens binary, cls binary, n binary").repartition(parts, "bucket").mapInArrow(shared, "token long, cls long, n int, cell long")
     postings = postings.join(first.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     postings = written(postings, "postings")
     crossing = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("token", "members")
     alive = postings.join(crossing, "token")
-    lists = alive.groupBy("cls", "comp", "n").agg(F.collect_list(F.struct("token", "members")).alias("own"))  # at most a prefix each
-    dealt = lists.select("cls", "comp", "n", F.transform("own", lambda x: x["token"]).alias("tokens"), F.explode("own").alias("x")).select("cls", "comp", "n", "tokens", "x.token", F.ceil(F.col("x.members") / BLOCK).cast("int").alias("blocks"))
+    lists = alive.groupBy("cls", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("cell", "token", "members"))).alias("own"))  # at most a prefix each
+    dealt = lists.select("cls", "comp", "n", F.transform("own", lambda x: x["token"]).alias("tokens"), F.posexplode("own").alias("at", "x"))
+    dealt = dealt.select("cls", "comp", "n", F.slice("tokens", F.col("at") + 2, F.size("tokens")).alias("tokens"), "x.token", F.ceil(F.col("x.members") / BLOCK).cast("int").alias("blocks"))
     # a group of several blocks becomes a cell for each pair of blocks
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "comp", "n", "tokens", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
     def tries(batches):
-        cell_counts = order.value
-
-        def in_order(tokens):
-            u = np.array(tokens, np.int64).view(np.uint64)
-            return np.array(tokens, np.int64)[np.lexsort((u, cell_counts[(u >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))].tolist()
+        key, group, pairs = None, [], set()
 
-        key, group, pairs = None, [], []
-        known: dict[int, list] = {}
-
-        def close():
-            if len(group) > 1:
-                pairs.extend(trie_pairs(group, key[0], percent, cross=key[1] != key[2]))
+        def out():
+            a, b = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
             for cls, comp, n, tokens, token, lo, hi, side in zip(*(c.to_pylist() for c in b.columns)):
                 if (token, lo, hi) != key:
-                    close()
+                    if len(group) > 1:
+                        pairs.update(trie_pairs(group, percent, cross=key[1] != key[2]))
                     key, group = (token, lo, hi), []
-                    if len(pairs) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-                        pairs = []
-                if cls not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[cls] = in_order(tokens)
-                group.append((cls, comp, n, known[cls], side))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+                    if len(pairs) > 200_000:
+                        yield out()
+                        pairs = set()
+                group.append((cls, comp, n, tuple(tokens), side))
+        if len(group) > 1:
+            pairs.update(trie_pairs(group, percent, cross=key[1] != key[2]))
+        yield out()
 
     candidates = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(tries, "a long, b long")
     candidates = written(candidates.distinct(), "candidates")
