@@ -109,15 +109,15 @@ _WORDS = "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHI
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""
 WITH i AS (SELECT CAST(item_id AS VARCHAR) item, {_WORDS.format('text')} w FROM benchmark),
-g AS (SELECT DISTINCT item, least(10, len(w)) n, array_to_string(w[at:at + least(10, len(w)) - 1], ' ') gram FROM i, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) t(at) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, least(10, len(w)) n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') gram FROM i, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) t(k) WHERE len(w) > 0),
 d AS (SELECT doc_id, row_number() OVER () rid, {_WORDS.format('text')} w FROM documents),
-dw AS (SELECT rid, n, at, array_to_string(w[at:at + n - 1], ' ') gram FROM d, (SELECT DISTINCT n FROM g) l, unnest(generate_series(1, len(w) - n + 1)) t(at) WHERE len(w) >= n),
-h AS (SELECT rid, at, dw.n, item FROM dw JOIN g ON dw.n = g.n AND dw.gram = g.gram),
-c AS (SELECT rid, count(DISTINCT p) n_hit FROM h, unnest(generate_series(at, at + n - 1)) t(p) GROUP BY rid),
-k AS (SELECT rid, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+dw AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') gram FROM d, (SELECT DISTINCT n FROM g) l, unnest(generate_series(1, len(w) - n + 1)) t(k) WHERE len(w) >= n),
+h AS (SELECT rid, k, dw.n, item FROM dw JOIN g ON dw.n = g.n AND dw.gram = g.gram),
+c AS (SELECT rid, count(DISTINCT p) n_hit FROM h, unnest(generate_series(k, k + n - 1)) t(p) GROUP BY rid),
+ki AS (SELECT rid, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
   sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)""",
+FROM d LEFT JOIN c USING (rid) LEFT JOIN ki USING (rid)""",
     "op9_url_filter": """
 WITH u AS (SELECT page_id, coalesce(url, '') url FROM pages),
 p AS (SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low,
