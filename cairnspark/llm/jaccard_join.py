@@ -3,7 +3,7 @@
 Two texts link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles (64-bit hashes).
 
 1. One scan gives each text its set's size and 128-bit fingerprint. Texts with equal sets form a class, which stands
-   for its copies from here on. The scan also counts shingles in 2**16 cells; a shingle's place in the global order is
+   for its copies from here on. The scan also counts shingles in 2**CELL_BITS cells; a shingle's place in the global order is
    (its cell's count, its hash), so what many texts share comes last.
 2. Near copies are gathered cheaply first: classes that share one of their SEEDS smallest hashes propose up to
    PROPOSALS partners each, those with most seeds in common; proposals are checked on whole sets, and true ones joined
@@ -37,7 +37,8 @@ from .graph import components
 from .runtime import forget, partitions, ship, written
 
 SEEDS = 8
-CELL_BITS = 16
+CELL_BITS = 21
+SLICES = 64
 BLOCK = 1024
 STAR = 2048
 PROPOSALS = 3
@@ -69,13 +70,14 @@ def _class_ids(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _scan(k: int):
     def run(batches):
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
         names = ["id", "text_hash", "n", "cls", "check", "seeds", "slice", "counts"]
         for b in batches:
             data, offsets = textkit.buffers(b.column(2))
             for i, j in textkit.slices(offsets):
                 s, bounds = _sets(data, offsets[i : j + 1], k)
-                cells += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+                own, many = np.unique(s >> np.uint64(64 - CELL_BITS), return_counts=True)
+                cells[own.astype(np.int64)] += many.astype(np.uint32)
                 cls, check = _class_ids(s, bounds)
                 n = np.diff(bounds)
                 take = np.minimum(n, SEEDS)
@@ -87,8 +89,8 @@ def _scan(k: int):
                 seed_bounds = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int32()), pa.array(cls), pa.array(check), pa.ListArray.from_arrays(pa.array(seed_bounds), pa.array(seeds)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
-        parts = cells.reshape(16, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int32()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.list_(pa.int64())), pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        parts = cells.reshape(SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     return run
 
@@ -97,8 +99,8 @@ def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(c, np.int64)
-            total[s] = total[s] + x if s in total else x
+            x = np.frombuffer(c, np.uint32)
+            total[s] = total[s] + x if s in total else x.astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
 
@@ -219,22 +221,64 @@ class Trie:
                 stack.append((child, shared + both, left - both))
 
 
-def trie_pairs(members: list[tuple], percent: int, cross: bool = False):
-    """Candidate pairs under one shared shingle. members: (cls, comp, n, what follows the shingle in its list, side); with cross=True, pairs of different sides only."""
+def trie_pairs(members: list[tuple], percent: int, cross: bool = False, thin: bool = False):
+    """Candidate pairs under one shared shingle; with thin=True, for each set only its best partner in each other component. members: (cls, comp, n, what follows the shingle in its list, side); with cross=True, pairs of different sides only."""
     trie, pairs = Trie(), []
     for cls, comp, n, path, side in sorted(members, key=lambda m: (m[4], m[2], m[0])):
         rest = n - prefix_length(n, percent)
+        best: dict = {}
         if not cross or side:
             for (other, other_comp, m), shared in trie.walk(path, n, rest, percent):
                 if other_comp == comp or 100 * min(n, m) < percent * max(n, m):
                     continue
                 if shared + max(rest, m - prefix_length(m, percent)) >= needed(n, m, percent):
-                    pairs.append((min(cls, other), max(cls, other)))
+                    if not thin:
+                        pairs.append((min(cls, other), max(cls, other)))
+                    elif shared > best.get(other_comp, (0,))[0]:
+                        best[other_comp] = (shared, other)
+        pairs.extend((min(cls, other), max(cls, other)) for _, other in best.values())
         if not cross or not side:
             trie.add(path, (cls, comp, n), n, rest)
     return pairs
 
 
+def _trie_round(postings: DataFrame, comps: DataFrame, percent: int, parts: int, thin: bool) -> DataFrame:
+    """Candidate pairs (a, b) of classes of different components, from the tries under all prefix shingles that such classes share."""
+    postings = postings.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    crossing = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("token", "members")
+    alive = postings.join(crossing, "token")
+    lists = alive.groupBy("cls", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("cell", "token", "members"))).alias("own"))  # at most a prefix each
+    dealt = lists.select("cls", "comp", "n", F.transform("own", lambda x: x["token"]).alias("tokens"), F.posexplode("own").alias("at", "x"))
+    dealt = dealt.select("cls", "comp", "n", F.slice("tokens", F.col("at") + 2, F.size("tokens")).alias("tokens"), "x.token", F.ceil(F.col("x.members") / BLOCK).cast("int").alias("blocks"))
+    # a group of several blocks becomes a cell for each pair of blocks
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "comp", "n", "tokens", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def tries(batches):
+        key, group, pairs = None, [], set()
+
+        def out():
+            a, b = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in batches:
+            for cls, comp, n, tokens, token, lo, hi, side in zip(*(c.to_pylist() for c in b.columns)):
+                if (token, lo, hi) != key:
+                    if len(group) > 1:
+                        pairs.update(trie_pairs(group, percent, cross=key[1] != key[2], thin=thin))
+                    key, group = (token, lo, hi), []
+                    if len(pairs) > 200_000:
+                        yield out()
+                        pairs = set()
+                group.append((cls, comp, n, tuple(tokens), side))
+        if len(group) > 1:
+            pairs.update(trie_pairs(group, percent, cross=key[1] != key[2], thin=thin))
+        yield out()
+
+    candidates = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(tries, "a long, b long")
+    return written(candidates.distinct(), "candidates")
+
+
 def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, text_hash, n_shingles, cls (equal for equal sets), comp (equal for linked rows; null without shingles), component_id (the smallest id linked, directly or not)."""
     spark = docs.sparkSession
@@ -243,8 +287,8 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     schema = "id long, text_hash long, n int, cls long, check long, seeds array<long>, slice int, counts binary"
     scanned = written(texts.mapInArrow(_scan(k), schema), "shingle-sets")
     rows = scanned.where("slice IS NULL").select("id", "text_hash", "n", "cls")
-    cells = np.zeros((16, (1 << CELL_BITS) // 16), np.int64)
-    for r in scanned.where("slice IS NOT NULL").select("slice", "counts").repartition(16, "slice").mapInArrow(_summed, "slice int, counts binary").collect():  # 2**16 numbers in all
+    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.int64)
+    for r in scanned.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect():  # 2**CELL_BITS numbers in all
         cells[r["slice"]] += np.frombuffer(r["counts"], np.int64)
     order = spark.sparkContext.broadcast(cells.reshape(-1))
 
@@ -323,47 +367,18 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (tokens, cls, n, cell)], ["token", "cls", "n", "cell"])
 
     postings = texts.select("text").mapInArrow(prefixes, "bucket int, tokens binary, cls binary, n binary").repartition(parts, "bucket").mapInArrow(shared, "token long, cls long, n int, cell long")
-    postings = postings.join(first.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     postings = written(postings, "postings")
-    crossing = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("token", "members")
-    alive = postings.join(crossing, "token")
-    lists = alive.groupBy("cls", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("cell", "token", "members"))).alias("own"))  # at most a prefix each
-    dealt = lists.select("cls", "comp", "n", F.transform("own", lambda x: x["token"]).alias("tokens"), F.posexplode("own").alias("at", "x"))
-    dealt = dealt.select("cls", "comp", "n", F.slice("tokens", F.col("at") + 2, F.size("tokens")).alias("tokens"), "x.token", F.ceil(F.col("x.members") / BLOCK).cast("int").alias("blocks"))
-    # a group of several blocks becomes a cell for each pair of blocks
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "comp", "n", "tokens", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-
-    def tries(batches):
-        key, group, pairs = None, [], set()
-
-        def out():
-            a, b = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for b in batches:
-            for cls, comp, n, tokens, token, lo, hi, side in zip(*(c.to_pylist() for c in b.columns)):
-                if (token, lo, hi) != key:
-                    if len(group) > 1:
-                        pairs.update(trie_pairs(group, percent, cross=key[1] != key[2]))
-                    key, group = (token, lo, hi), []
-                    if len(pairs) > 200_000:
-                        yield out()
-                        pairs = set()
-                group.append((cls, comp, n, tuple(tokens), side))
-        if len(group) > 1:
-            pairs.update(trie_pairs(group, percent, cross=key[1] != key[2]))
-        yield out()
-
-    candidates = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(tries, "a long, b long")
-    candidates = written(candidates.distinct(), "candidates")
-    if candidates.isEmpty():
-        comps = first
-    else:
-        sets = _whole_sets(texts, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct(), classes, k)
-        comps = components(links.unionByName(written(_verified(candidates, sets, percent), "links")))
-        forget(sets)
-    forget(postings, candidates)
+    # twice: what the best partners link is one component when all pairs that are left are looked at
+    comps = first
+    for thin in (True, False):
+        candidates = _trie_round(postings, comps, percent, parts, thin)
+        if not candidates.isEmpty():
+            sets = _whole_sets(texts, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct(), classes, k)
+            links = links.unionByName(written(_verified(candidates, sets, percent), "links"))
+            comps = components(links)
+            forget(sets)
+        forget(candidates)
+    forget(postings)
     # 4. a group's id, by class, then for every row
     of_class = classes.select("cls", "least_id").join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
