@@ -151,21 +151,16 @@ class Model:
             return out
         return self.levels[level].values("count", numbers).astype(np.float64)
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each order over 1 the number of each token's context, or -1. first: whether a token begins its text."""
-        out = []
-        if len(self.levels) >= 1:
-            before = np.full(len(ids), -1, np.int64)
-            before[1:] = ids[:-1]
-            before[first] = self.vocabulary
-            out.append(before)
-        for level in range(1, len(self.levels)):
-            own = self.find(level, out[level - 1], ids)
-            before = np.full(len(ids), -1, np.int64)
-            before[1:] = own[:-1]
-            before[first] = -1
-            out.append(before)
-        return out
+    def context(self, order: int, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's context number for n-grams of `order`, or -1, and whether its own shorter n-gram is an entry. first: whether a token begins its text."""
+        entry, begin = ids, self.vocabulary
+        for level in range(order - 1):
+            if level:
+                entry, begin = self.find(level, context, ids), -1
+            context = np.full(len(ids), -1, np.int64)
+            context[1:] = entry[:-1]
+            context[first] = begin
+        return context, entry >= 0
 
     def find(self, level: int, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.full(len(ids), -1, np.int64)
@@ -308,11 +303,8 @@ def _next_level(text: DataFrame, model: Model, n: int, min_count: int, discount:
         ids = m.numbers(h)
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
-        context = m.contexts(ids, first)[n - 2]
-        ok = (context >= 0) & (ids >= 0)
-        if n > 2:  # its shorter end must be an entry, too
-            shorter = m.contexts(ids, first)[n - 3]
-            ok &= m.find(n - 2, shorter, ids) >= 0
+        context, known = m.context(n, ids, first)  # its shorter end must be an entry, too
+        ok = (context >= 0) & known
         return m.keys(context[ok], ids[ok])
 
     # context numbers are dealt in ranges, for the sums of what their entries use
