@@ -84,7 +84,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     own = F.coalesce(*[F.when(F.col("len") == n, F.element_at(F.col(f"h{n}"), 1)) for n in lengths], F.lit(None).cast("long"))
     hash_set = hashed.select(own.alias("h"), "len", "gram", "items")
     hash_set = hash_set.unionByName(docs.sparkSession.range(1).select(F.lit(_SENTINEL).cast("long").alias("h"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<string>").alias("items")))
-    if sum(sized.values()) <= BROADCAST_WINDOWS:
+    small = sum(sized.values()) <= BROADCAST_WINDOWS
+    if small:
         hash_set = F.broadcast(hash_set)
 
     text = F.col(text_col).cast("string")
@@ -103,9 +104,13 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
 
         first = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("at"), sentinel.alias("h")))
         rows = scan.select(*narrow, F.concat(first, *[laid(n) for n in lengths]).alias("_hs")).select(*narrow, F.explode("_hs").alias("_w")).select(*narrow, F.col("_w.at").alias("_at"), F.col("_w.len").alias("_len"), F.col("_w.h").alias("h"))
+    own_gram = F.array_join(F.slice("words", F.col("_at") + 1, F.greatest("_len", F.lit(0))), " ")
+    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    if not small:  # a shuffled window takes its own words along, not its text's
+        rows = rows.withColumn("_gram", F.when(F.col("_at") >= 0, own_gram)).drop("words")
     met = rows.join(hash_set, "h")
-    true_hit = (F.col("_at") >= 0) & (F.col("len") == F.col("_len")) & (F.array_join(F.slice("words", F.col("_at") + 1, F.greatest("_len", F.lit(0))), " ") == F.col("gram"))
-    checked = met.select("_row", "_id", "text_hash", "text_size", F.size("words").cast("long").alias("n_words"), F.when(true_hit, F.sequence(F.col("_at"), F.col("_at") + F.col("_len") - 1)).alias("span"), F.when(true_hit, F.col("items")).alias("items"))
+    true_hit = (F.col("_at") >= 0) & (F.col("len") == F.col("_len")) & ((own_gram if small else F.col("_gram")) == F.col("gram"))
+    checked = met.select("_row", "_id", "text_hash", "text_size", "n_words", F.when(true_hit, F.sequence(F.col("_at"), F.col("_at") + F.col("_len") - 1)).alias("span"), F.when(true_hit, F.col("items")).alias("items"))
     # hits of a row are a few a word at most; the words they cover and their items come out as sets
     per_row = checked.groupBy("_row").agg(
         *[F.first(c).alias(c) for c in ("_id", "text_hash", "text_size", "n_words")],

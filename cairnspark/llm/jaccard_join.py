@@ -137,6 +137,7 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int)
                         seen.add(c)
                         new.append(at)
                 yield pa.RecordBatch.from_arrays([pa.array(cls), cut], ["cls", "tokens"]).take(pa.array(new, pa.int32()))
+        textkit.release()
 
     found = _only(texts.select("text_hash", "text"), hashes).select("text_hash", "text").mapInArrow(run, "cls long, tokens binary")
     return written(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
@@ -340,11 +341,13 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
                 ok = place < prefix_length(n, percent)[row]
                 held.append((s[at][ok], cls[row[ok]], n[row[ok]].astype(np.int32)))
                 size += int(ok.sum())
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
+            held.clear()
+        textkit.release()
 
     def shared(batches):
         got = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(n, np.int32)) for b in batches for t, c, n in zip(*(b.column(x).to_pylist() for x in (1, 2, 3)))]

@@ -149,6 +149,26 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     return fit(*training_sample(docs, text_col, lang_col, per_lang))
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[97:123] = _ASCII_LETTER[65:91] = True
+
+
+def _judged(col: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of an Arrow column."""
+    data, offsets = textkit.buffers(col)
+    n = len(offsets) - 1
+    langs, scores = np.full(n, UNDETERMINED, object), np.zeros(n)
+    if model is not None:
+        for i, j in textkit.slices(offsets, 1 << 20, rows=256):
+            langs[i:j], scores[i:j] = model.predict(data, offsets[i : j + 1])
+            part = _ASCII_LETTER[data[offsets[i] : offsets[j]]]
+            seen = np.concatenate([[0], np.cumsum(part)])
+            for k in np.flatnonzero(np.diff(seen[offsets[i : j + 1] - offsets[i]]) == 0) + i:
+                if not any(map(str.isalpha, col[int(k)].as_py() or "")):
+                    langs[k], scores[k] = UNDETERMINED, 0.0
+    return langs, scores
+
+
 def predict(docs: DataFrame, model: Model | None, id_cols: dict[str, Column], text_col: str = "text") -> DataFrame:
     """One row for each row: the columns of id_cols, lang_pred and score."""
     ship(docs.sparkSession)
@@ -156,22 +176,10 @@ def predict(docs: DataFrame, model: Model | None, id_cols: dict[str, Column], te
     schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(narrow.schema.fields[:-1]))
 
     def run(batches):
-        ascii_letter = np.zeros(256, bool)
-        ascii_letter[97:123] = ascii_letter[65:91] = True
         for b in batches:
-            col = b.column(b.num_columns - 1)
-            data, offsets = textkit.buffers(col)
-            n = len(offsets) - 1
-            langs, scores = np.full(n, UNDETERMINED, object), np.zeros(n)
-            if model is not None:
-                for i, j in textkit.slices(offsets, rows=512):
-                    langs[i:j], scores[i:j] = model.predict(data, offsets[i : j + 1])
-                base = offsets[0]
-                seen = np.concatenate([[0], np.cumsum(ascii_letter[data[base : offsets[-1]]])])
-                for i in np.flatnonzero(seen[offsets[1:] - base] == seen[offsets[:-1] - base]):
-                    if not any(map(str.isalpha, col[int(i)].as_py() or "")):
-                        langs[i], scores[i] = UNDETERMINED, 0.0
+            langs, scores = _judged(b.column(b.num_columns - 1), model)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+        textkit.release()
 
     out = narrow.mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
     return out.toDF(*id_cols, "lang_pred", "score")
@@ -183,9 +191,12 @@ def held_out(doc_id: Column, fold: int = 2, of: int = 4) -> Column:
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose language is undetermined or has a score under `least`; columns as they are."""
-    names = docs.columns
-    inside = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index(text_col)}"
-    out = predict(inside, model, {c: F.col(c) for c in inside.columns}, text)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*inside.columns).toDF(*names)
+    """`docs` without the rows whose language is undetermined or has a score under `least`; columns as they are. Only texts go to Python."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def known(col: pa.Array) -> pa.Array:
+        langs, scores = _judged(col, model)
+        return pa.array((langs != UNDETERMINED) & (scores >= least))
+
+    return docs.where(known(F.col(f"`{text_col}`").cast("string")))

@@ -54,6 +54,19 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system, as workers live on between stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 30):
     """Ranges of at most `rows` rows that hold at most `most` bytes, or one row."""
     i, n = 0, len(offsets) - 1
