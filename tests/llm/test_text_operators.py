@@ -69,7 +69,7 @@ def test_decontamination(spark):
     clean = decontaminate.remove(d, bench)
     assert clean.columns == d.columns and sorted((r.doc_id for r in clean.collect()), key=str) == sorted((w[0] for w in want if not w[2]), key=str)
     cut = {r.doc_id: r.text for r in decontaminate.remove(d, bench, spans=True).collect()}
-    assert cut[10] == "q" and cut[7] == "a" and cut[2] is None
+    assert cut[10] == "q x" and cut[7] == "a" and cut[2] is None
     assert decontaminate.find(d, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0 and decontaminate.find(d.limit(0), bench).isEmpty()
 
 
