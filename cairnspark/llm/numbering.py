@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK = 5_000
 MOST_BLOCKS = 20_000
 
 
