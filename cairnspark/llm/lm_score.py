@@ -6,8 +6,9 @@ sorted keys, and a query is a successor search relative to its context. Each lev
 Elias-Fano arrays with quantised probabilities, which workers memory-map from the shared folder.
 
 Counts come from all training rows. Tasks add up what they see, sorted and packed, before anything is shuffled, and keys
-are dealt by hash, so a frequent word or context is nobody's hot group. Entries of levels over 1 need MIN_COUNT
-occurrences, and an n-gram is only counted if both its (n-1)-grams are entries. Smoothing is interpolated absolute
+are dealt by hash, so a frequent word or context is nobody's hot group. With min_count 1, as op7_lm_score has it, every
+n-gram of the training texts is an entry. A higher min_count (MIN_COUNT unless given) leaves out rarer entries of levels
+over 1, and n-grams of which an (n-1)-gram is no entry: then counts don't cover all of the training texts. Smoothing is interpolated absolute
 discounting: p(w | c) = (count - DISCOUNT) / count(c) + rest(c) * p(w | shorter c), down to (count + 1) / (N + V + 1).
 
 Defined cases. Null text: empty, which is one end token. Null id: trains as an id of empty text. No training rows: N and

@@ -64,7 +64,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     held_out = language_id.held_out(F.col("doc_id"), 2, 7)
-    model = lm_score.train(docs.where(~held_out))
+    model = lm_score.train(docs.where(~held_out), min_count=1)  # every n-gram of the training texts counts
     return lm_score.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 

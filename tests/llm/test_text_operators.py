@@ -224,6 +224,35 @@ def test_language_model(spark):
     assert none.total == 0 and lm_score.score(d, none, {}).count() == len(rows)
 
 
+def test_language_model_query_counts_every_ngram(spark, tmp_path):
+    rows = [*ODD, *[(i + 20, t) for i, t in enumerate(["the cat sat", "the cat ran off", "a dog sat", "The Cat sat", "", "one two three"] * 3)], (90, "seen just once here"), (97, "seen just once here too")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in queries.QUERIES["op7_lm_score"](spark, str(tmp_path)).collect())
+    train = [["<", *white_words(t), None] for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    assert 0 < len(train) < len(rows)
+    c1 = Counter(w for t in train for w in t[1:])
+    c2, c3 = (Counter(g for t in train for g in zip(*[t[k:] for k in range(n)])) for n in (2, 3))
+    assert min(c2.values()) == min(c3.values()) == 1
+    f1, f2, kinds1, kinds2 = Counter(), Counter(), Counter(g[0] for g in c2), Counter(g[:2] for g in c3)
+    for g, n in c2.items():
+        f1[g[0]] += n
+    for g, n in c3.items():
+        f2[g[:2]] += n
+    total, d_, want = sum(c1.values()), 0.75, []
+    for i, t in rows:
+        x, own = ["<", *white_words(t), None], 0.0
+        for a, b, c in zip([None, *x], x, x[1:]):
+            p = (c1[c] + 1) / (total + len(c1) + 1)
+            if f1[b]:
+                p = (max(c2[b, c] - d_, 0) + d_ * kinds1[b] * p) / f1[b]
+            if f2[a, b]:
+                p = (max(c3[a, b, c] - d_, 0) + d_ * kinds2[a, b] * p) / f2[a, b]
+            own += math.log10(p)
+        want.append((str(i), len(x) - 1, own))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=2e-3, abs=1.3e-4 * b[1])  # half a step of the quantised log10 a token
+
+
 def test_elias_fano_finds_all():
     from cairnspark.llm import elias_fano
 
