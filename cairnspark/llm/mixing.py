@@ -5,13 +5,15 @@ periodic task: its block j (from 0) has the pseudo-release floor(j / w) and the
 slots of one block. Of the blocks released, each slot takes the one with the earliest deadline. As weights sum to 1, no
 deadline is missed, so after any number of slots every source deviates from its target by less than one block.
 
-Weights are whole quanta of 1/W, so a schedule repeats after W slots; only one period is computed, on the driver, however
-many blocks there are, and a row's slot follows from its source and number. A source that has run out leaves its slots
-empty, which keeps the others within a block of their targets to each other; positions number the rows that are there,
-so every row is placed exactly once.
+Weights are exact: whole shares of their sum, as their decimals say. Where the shares sum to QUANTA at most, the schedule
+repeats after so many slots, and one period is computed; otherwise every block that there is gets its slot, so that the
+driver's work and memory grow with the blocks (one for each `block_rows` rows), not with the slots. Either way a row's
+slot follows from its source and number. Slots that no block takes stay empty, as when a source has run out; the others
+stay within a block of their targets. Positions number the rows that are there, so every row is placed exactly once.
 
 Defined cases. Null source: the source "". Sources that have no target get the smallest target; with no targets at all,
-weights are the square roots of the sources' row counts. Null ids and texts: ordinary rows. Repeated rows: a place each.
+weights are the square roots of the sources' row counts. Sources of weight 0 come after all others, one after another.
+Negative or infinite weights: ValueError. Null ids and texts: ordinary rows. Repeated rows: a place each.
 Empty table: no rows. More than MAX_SOURCES sources: ValueError. Extra columns pass through `mixed`.
 """
 
@@ -19,7 +21,8 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from math import sqrt
+from fractions import Fraction
+from math import gcd, isfinite, lcm, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,19 @@ MAX_SOURCES = 2_000
 BROADCAST_ROWS = 1_000_000
 
 
+def exact(weights: list[float]) -> list[int]:
+    """Whole shares in exactly the proportions of the weights, which are taken as their shortest decimals."""
+    if not all(isfinite(w) and w >= 0 for w in weights):
+        raise ValueError("weights must be finite and not negative")
+    whole = [Fraction(repr(float(w))) for w in weights]
+    by = lcm(*[w.denominator for w in whole])
+    shares = [int(w * by) for w in whole]
+    least = gcd(*shares) or 1
+    return [s // least for s in shares]
+
+
 def quantised(weights: list[float], quanta: int) -> list[int]:
-    """Whole shares of `quanta`, at least 1 each, nearest to the weights (largest remainders first)."""
+    """Whole shares of `quanta`, at least 1 each, near the weights: for callers that want a given period, the mix doesn't."""
     total = sum(weights)
     spare = quanta - len(weights)
     exact = [w / total * spare for w in weights]
@@ -46,23 +60,32 @@ def quantised(weights: list[float], quanta: int) -> list[int]:
     return out
 
 
-def period(shares: list[int]) -> list[np.ndarray]:
-    """For each source, the slots of its blocks within one period of sum(shares) slots, earliest deadline first."""
+def period(shares: list[int], blocks: list[int] | None = None) -> list[np.ndarray]:
+    """For each source, the slots of its first `blocks` blocks, earliest deadline first; without them, of one period of sum(shares) slots.
+
+    Fewer blocks than a period's leave slots empty, but no deadline is missed for that.
+    """
     total = sum(shares)
-    places: list[list[int]] = [[] for _ in shares]
-    waiting = [(0, i) for i in range(len(shares))]  # by release
+    blocks = shares if blocks is None else blocks
+    places = [np.zeros(n, np.int64) for n in blocks]
+    done = [0] * len(shares)
+    waiting = [(0, i) for i in range(len(shares)) if blocks[i]]  # by release
     ready: list[tuple[int, int]] = []  # by deadline
-    heapq.heapify(waiting)
-    for t in range(total):
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(places[i]) + 1) * total // shares[i]), i))
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // shares[i]), i))
         deadline, i = heapq.heappop(ready)
         assert t < deadline, "a deadline was missed"
-        places[i].append(t)
-        if len(places[i]) < shares[i]:
-            heapq.heappush(waiting, (len(places[i]) * total // shares[i], i))
-    return [np.array(p, np.int64) for p in places]
+        places[i][done[i]] = t
+        done[i] += 1
+        if done[i] < blocks[i]:
+            heapq.heappush(waiting, (done[i] * total // shares[i], i))
+        t += 1
+    return places
 
 
 @dataclass
@@ -71,23 +94,37 @@ class Plan:
     block_rows: int
     shares: list[int]
     places: list[np.ndarray]
+    repeats: bool
 
     @classmethod
     def of(cls, rows: list[int], weights: list[float], block_rows: int = BLOCK_ROWS, quanta: int = QUANTA) -> "Plan":
-        shares = quantised(weights, max(quanta, 50 * len(rows))) if rows else []
-        return cls(rows, block_rows, shares, period(shares))
+        """The plan of exactly these weights; a period of over `quanta` slots isn't repeated, but each block is scheduled."""
+        shares = exact(weights) if rows else []
+        if all(shares) and sum(shares) <= quanta:
+            return cls(rows, block_rows, shares, period(shares), True)
+        blocks = [-(-n // block_rows) for n in rows]
+        places = period(shares, [n if s else 0 for n, s in zip(blocks, shares)])
+        end = max((int(p[-1]) + 1 for p in places if len(p)), default=0)
+        for i, s in enumerate(shares):
+            if not s:
+                places[i] = np.arange(end, end + blocks[i])
+                end += blocks[i]
+        return cls(rows, block_rows, shares, places, False)
 
     def slots(self, source: int, block: np.ndarray) -> np.ndarray:
         """The slot of each block of a source."""
+        if not self.repeats:
+            return self.places[source][block]
         return block // self.shares[source] * sum(self.shares) + self.places[source][block % self.shares[source]]
 
     def rows_before(self, slot: np.ndarray) -> np.ndarray:
         """How many rows the slots before each of these hold."""
         total = sum(self.shares)
-        cycle, rest = slot // total, slot % total
+        cycle, rest = (slot // total, slot % total) if self.repeats else (None, slot)
         out = np.zeros(len(slot), np.int64)
         for n, share, places in zip(self.rows, self.shares, self.places):
-            out += np.minimum(n, (cycle * share + np.searchsorted(places, rest)) * self.block_rows)
+            before = np.searchsorted(places, rest) + (cycle * share if self.repeats else 0)
+            out += np.minimum(n, before * self.block_rows)
         return out
 
 
@@ -113,8 +150,10 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
         offsets.append((r["source"], r["block"], before))
         before, last = before + r["n"], r["source"]
     index = {s: i for i, s in enumerate(names)}
+    held = spark.sparkContext.broadcast(plan)
 
     def run(batches):
+        plan = held.value
         for b in batches:
             seq = b.column(3).to_numpy(zero_copy_only=False)
             own = np.array([index[s] for s in b.column(2).to_pylist()], np.int64)

@@ -43,6 +43,27 @@ def test_pfair_deviation_is_under_a_block():
         assert all(abs(seen[j] - t * s / 997) < 1 for j, s in enumerate(shares))
 
 
+@pytest.mark.parametrize("weights", [[0.5] + [0.5 / 19] * 19, [0.0001, 0.4999, 0.5], [100.0] + [float(w) ** 0.5 for w in range(2, 21)], [0.5, 0.25, 0.25]])
+def test_pfair_keeps_to_the_target_weights_over_many_slots(weights):
+    n = 60_000
+    w = np.array(weights) / sum(weights)
+    p = mixing.Plan.of([int(n * x) * 16 + 16 for x in w], weights)
+    at = [p.slots(i, np.arange(int(n * x))) for i, x in enumerate(w)]
+    assert len(np.unique(np.concatenate(at))) == sum(map(len, at))
+    for t in (*range(0, 3_000, 7), *range(3_000, n - 20, 501)):
+        seen = np.array([np.searchsorted(a, t) for a in at])
+        assert np.abs(seen - t * w).max() < 1 + 1e-9  # t * w is rounded
+
+
+def test_mixing_weights_of_nothing():
+    p = mixing.Plan.of([40, 33, 5, 0], [0.0, 0.7, 0.0, 0.3], 16)
+    assert p.slots(0, np.arange(3)).min() > p.slots(1, np.arange(3)).max() and p.slots(2, np.arange(1))[0] > p.slots(0, np.arange(3)).max()
+    assert p.rows_before(p.slots(2, np.arange(1)))[0] == 73
+    for bad in (-1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            mixing.Plan.of([1, 1], [1.0, bad])
+
+
 def test_mixing(spark, odd):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.placed(d, block_rows=4).collect()
