@@ -25,6 +25,7 @@ from .runtime import ship
 
 WIDTH, SIZES = 4096, (1, 2, 3)
 PER_LANG, TRAIN_BYTES = 300, 65_536
+PIECES, PIECES_EACH = (3, 8, 24), 8
 UNDETERMINED = "und"
 #: Families of common languages.
 FAMILIES = {
@@ -123,6 +124,74 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     return Model(top, {f: OneVersusOne(sorted(set(labels[family == f]))).fit(x[family == f], labels[family == f]) for f in names})
 
 
+@dataclass
+class Typical:
+    """How like a language a text must be: the mean over its n-grams of log(how much more frequent than at random).
+
+    A floor is half of what nearly every piece of the language's labelled texts reaches in a profile made without its
+    text, for pieces of PIECES bytes; a text has the floor of the longest piece that is no longer than it. A text fits if
+    it reaches the floor of any language. Floors are each language's own, so their number doesn't shift them. A language
+    of one text has no floor.
+    """
+
+    profiles: dict[str, np.ndarray]
+    floors: dict[str, np.ndarray]
+
+    def fits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        counts = textkit.byte_ngram_counts(data, offsets, SIZES, WIDTH)
+        size = np.maximum(np.searchsorted(PIECES, np.diff(offsets), side="right") - 1, 0)
+        out = np.zeros(len(counts), bool)
+        for v, profile in self.profiles.items():
+            out |= _likeness(counts, profile) >= self.floors[v][size]
+        return out
+
+
+def _likeness(counts: np.ndarray, profile: np.ndarray) -> np.ndarray:
+    return counts @ profile / np.maximum(counts.sum(axis=1), 1)
+
+
+def _counted(texts: list[str]):
+    data, offsets = textkit.buffers(pa.array(texts, pa.large_string()))
+    for i, j in textkit.slices(offsets, 1 << 20, rows=512):
+        yield textkit.byte_ngram_counts(data, offsets[i : j + 1], SIZES, WIDTH)
+
+
+def _profile(texts: list[str]) -> np.ndarray:
+    total = sum((c.sum(axis=0, dtype=float) for c in _counted(texts)), np.zeros(WIDTH))
+    p = total + max(0.05 * total.sum() / WIDTH, 1e-9)
+    return np.log(p / p.sum() * WIDTH).astype(np.float32)
+
+
+def typical(texts: list[str], langs: list[str]) -> Typical:
+    """Profiles and floors of a labelled sample. A language's floor lets a hundredth of its texts have lower pieces, as labels can be wrong."""
+    profiles, floors = {}, {}
+    for v in sorted(set(langs)):
+        own = [t for t, k in zip(texts, langs) if k == v]
+        profiles[v], floors[v] = _profile(own), np.full(len(PIECES), -np.inf)
+        folds = [own[0::2], own[1::2]]
+        for k, size in enumerate(PIECES) if len(own) > 1 else ():
+            least = []  # of each text, its least typical piece
+            for made, held in (folds, folds[::-1]):
+                profile = _profile(made)
+                cut, whose = [], []
+                for i, t in enumerate(held):
+                    b = t.encode()
+                    for at in sorted({int(a) for a in np.linspace(0, max(0, len(b) - size), PIECES_EACH)}):
+                        piece = b[at : at + size].decode(errors="ignore")
+                        if any(map(str.isalpha, piece)):
+                            cut.append(piece)
+                            whose.append(i)
+                low = np.full(len(held), np.inf)
+                if cut:
+                    np.minimum.at(low, whose, np.concatenate([_likeness(c, profile) for c in _counted(cut)]))
+                least.append(low[np.isfinite(low)])
+            least = np.sort(np.concatenate(least))
+            if len(least):
+                floors[v][k] = min(least[len(least) // 100], least[len(least) // 100] / 2)
+        floors[v] = np.minimum.accumulate(floors[v][::-1])[::-1]
+    return Typical(profiles, floors)
+
+
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
     """About per_lang texts of each language, at most as many, chosen by a hash of the text."""
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
@@ -190,13 +259,18 @@ def held_out(doc_id: Column, fold: int = 2, of: int = 4) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % of == fold
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose language is undetermined or has a score under `least`; columns as they are. Only texts go to Python."""
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_col: str = "text", like: Typical | None = None) -> DataFrame:
+    """`docs` without the rows whose language is undetermined, has a score under `least` or, with `like`, whose text is like no language of the sample; columns as they are. Only texts go to Python."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def known(col: pa.Array) -> pa.Array:
         langs, scores = _judged(col, model)
-        return pa.array((langs != UNDETERMINED) & (scores >= least))
+        keep = (langs != UNDETERMINED) & (scores >= least)
+        if like is not None:
+            data, offsets = textkit.buffers(col)
+            for i, j in textkit.slices(offsets, 1 << 20, rows=256):
+                keep[i:j] &= like.fits(data, offsets[i : j + 1])
+        return pa.array(keep)
 
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))

@@ -158,8 +158,8 @@ def _letter_table() -> np.ndarray:
 LETTERS = _letter_table()
 
 
-def byte_ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], width: int) -> np.ndarray:
-    """Rows x width: log counts of hashed n-grams of bytes (letters lower-cased, all else in ASCII a blank), each row of length 1."""
+def byte_ngram_counts(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], width: int) -> np.ndarray:
+    """Rows x width: counts of hashed n-grams of bytes (letters lower-cased, all else in ASCII a blank)."""
     base, n_rows = offsets[0], len(offsets) - 1
     part = LETTERS[data[base : offsets[-1]]].astype(np.uint32)
     row = np.repeat(np.arange(n_rows), np.diff(offsets))
@@ -173,5 +173,10 @@ def byte_ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], w
             h = code[ok] * np.uint32(0x9E3779B1 + 2 * n)
             h = (h ^ (h >> np.uint32(15))) & np.uint32(width - 1)
             out += np.bincount(row[: len(code)][ok] * width + h, minlength=len(out))
-    x = np.log1p(out.reshape(n_rows, width))
+    return out.reshape(n_rows, width)
+
+
+def byte_ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], width: int) -> np.ndarray:
+    """Rows x width: log counts of hashed n-grams of bytes, each row of length 1."""
+    x = np.log1p(byte_ngram_counts(data, offsets, sizes, width))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

@@ -169,6 +169,21 @@ def test_language_edges(spark):
     assert language_id.predict(d, None, {}).where("lang_pred <> 'und'").isEmpty() and language_id.train(d.limit(0)) is None
 
 
+def test_pipeline_drops_texts_of_no_learned_language(spark):
+    import corpus_pipeline
+
+    known = ["The cat sat on the mat.", "Hello there", "It was good.", "Das ist ein schöner Tag.", "El perro está en la casa.", "Le chat est sur la table.", "yes", "THE END!!", "12 - the 13"]
+    other = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "我们今天去公园散步，天气非常好。", "Η γρήγορη αλεπού πηδάει πάνω από το σκυλί", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "xqzv kjwq zzpf vbnq wxkz qqjh ghtk pwzx jjkv", "Привет " * 50_000]
+    labelled = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    new = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(known + other)], "doc_id long, text string")
+    docs = labelled.unionByName(new, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).select("doc_id").collect()}
+    assert [t[:50] for i, t in enumerate(known) if -1 - i not in kept] == []
+    assert [t[:50] for i, t in enumerate(known + other) if i >= len(known) and -1 - i in kept] == []
+    ids = {r.doc_id for r in labelled.select("doc_id").collect()}
+    assert len(ids - kept) <= 0.001 * len(ids)
+
+
 # --- token counts ---
 def test_token_counts_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
