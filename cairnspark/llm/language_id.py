@@ -17,11 +17,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import ship
+from .runtime import forget, ship, written
 
 WIDTH, SIZES = 4096, (1, 2, 3)
 PER_LANG, TRAIN_BYTES = 300, 65_536
@@ -193,25 +193,25 @@ def typical(texts: list[str], langs: list[str]) -> Typical:
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """About per_lang texts of each language, at most as many, chosen by a hash of the text."""
+    """About per_lang distinct texts of each language, at most as many, chosen by a hash of the text."""
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    d = d.withColumn("size", F.octet_length("text")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
+    d = d.withColumn("size", F.octet_length("text")).withColumn("key", F.xxhash64("text"))
+    # copies of a text count once; only keys are shuffled
+    keys = written(d.select("lang", "size", "key").distinct().withColumn("h", F.pmod("key", F.lit(1_000_000))), "sample")
     short = F.col("size") <= TRAIN_BYTES
-    counts = d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.min("size").alias("least")).collect()  # a row a language
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.min("size").alias("least")).collect()  # a row a language
     if not counts:
         return [], []
     wanted = F.lit(False)
     for r in counts:
         n, most = (r["short"], TRAIN_BYTES) if r["short"] else (1, r["least"])
         wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("size") <= most) & (F.col("h") < min(1_000_000, -(-1_300_000 * per_lang // n))))
-    rows = sorted(d.where(wanted).select("lang", "h", "text").collect(), key=lambda r: (r["lang"], r["h"], r["text"]))
-    texts, langs, seen = [], [], {}
-    for r in rows:
-        if seen.setdefault(r["lang"], 0) < per_lang:
-            seen[r["lang"]] += 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return texts, langs
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "size"))
+    chosen = keys.where(wanted).withColumn("nth", nth).where(F.col("nth") <= per_lang).drop("nth")
+    found = d.join(F.broadcast(chosen), ["lang", "size", "key"]).groupBy("lang", "h", "key", "size").agg(F.min("text").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["text"]))  # at most per_lang a language
+    forget(keys)
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:

@@ -169,6 +169,14 @@ def test_language_edges(spark):
     assert language_id.predict(d, None, {}).where("lang_pred <> 'und'").isEmpty() and language_id.train(d.limit(0)) is None
 
 
+def test_language_sample_holds_no_text_twice(spark):
+    d = spark.range(700).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    hot = d.orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_000))).limit(1)
+    d = d.unionByName(hot.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(350)))).drop("n"))
+    texts, langs = language_id.training_sample(d, "text", "lang", 50)
+    assert len(texts) == len(langs) == len(set(texts)) and 40 <= len(texts) <= 50
+
+
 def test_pipeline_drops_texts_of_no_learned_language(spark):
     import corpus_pipeline
 
