@@ -171,9 +171,15 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str
     return out.select(*inside, "_v_shard", "_v_slot").toDF(*names, *new)
 
 
-def rewrite_affected(docs: DataFrame, old_shard: Column, path: str, shards: int = SHARDS, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Writes the shards whose rows change, as shard=<n> folders under `path`; returns which. The others' old files stay valid."""
-    given = written(place(docs, old_shard, shards, law, id_col=id_col, text_col=text_col), "placed")
+def rewrite_affected(docs: DataFrame, old_shard: Column, path: str, shards: int = SHARDS, law: str = "bytes", id_col: str = "doc_id", text_col: str = "text", old_shards: int | None = None) -> list[int]:
+    """Writes the shards whose rows change, as shard=<n> folders under `path`; returns which. The others' old files stay valid.
+
+    Without old_shards, the old layout has `shards` shards, or as many more as the largest old shard of a row tells; all
+    rows of a shard that vanishes move.
+    """
+    if old_shards is None:
+        old_shards = max(shards, (docs.agg(F.max(old_shard.cast("int"))).first()[0] or 0) + 1)
+    given = written(place(docs, old_shard, shards, law, old_shards=old_shards, id_col=id_col, text_col=text_col), "placed")
     moved = given.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moved.collect() if r["s"] < shards)
     if affected:

@@ -118,6 +118,15 @@ def test_sharding_edges(spark, odd, tmp_path):
     assert set(moved) == {6, 7} and spark.read.parquet(str(tmp_path / "some")).count() == 2
 
 
+def test_rewriting_a_layout_that_shrinks(spark, tmp_path):
+    d = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
+    moved = sharding.rewrite_affected(d, (F.col("doc_id") % 16).cast("int"), str(tmp_path / "less"), 8, "rows")
+    assert moved == list(range(8))
+    out = spark.read.parquet(str(tmp_path / "less"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(64))
+    assert {r["count"] for r in out.groupBy("shard").count().collect()} == {8}
+
+
 def test_neighbours(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = e.collect()
