@@ -2,29 +2,35 @@
 
 Two texts link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles (64-bit hashes).
 
-1. One scan gives each text its set's size and 128-bit fingerprint. Texts with equal sets form a class, which stands
-   for its copies from here on. The scan also counts shingles in 2**CELL_BITS cells; a shingle's place in the global order is
-   (its cell's count, its hash), so what many texts share comes last.
-2. Near copies are gathered cheaply first: classes that share one of their SEEDS smallest hashes propose up to
-   PROPOSALS partners each, those with most seeds in common; proposals are checked on whole sets, and true ones joined
-   into components.
-3. The join. By the prefix bound, two linked sets share a shingle among the first n - ceil(t*n) + 1 of both. Prefix
-   shingles that classes of two different components have make up each class's reduced list. Under each shared shingle
-   the lists that go on from it are stored in a trie; each list walks the trie once, so that partial overlaps are shared
-   by all sets below a node, and subtrees are pruned where the overlap so far, what may still come below, and what may
-   come after the prefixes can't reach the bound. Pairs already in one component are passed over: they add no group.
-   A pair is met at its first shared shingle only. Large groups under one shingle are dealt out as pairs of blocks.
-4. Pairs that the trie leaves are checked on whole sets; components of all true links give the result.
+1. One scan gives each text its set's size, 128-bit fingerprint and parity bitmap. Texts with equal sets form a class,
+   which stands for its copies from here on. The scan also counts shingles in 2**CELL_BITS cells; a shingle's place in
+   the global order is (its cell's count, its hash), so what many texts share comes last.
+2. By the prefix bound, two linked sets share a shingle among the first n - ceil(t*n) + 1 of both, and the first they
+   share is among the first n - needed(n, n) + 1 of the smaller. Prefix shingles that a class has in common with another
+   of a fitting size are its list; those where such a pair may meet first are its meeting points.
+3. Under each meeting point the lists that go on from it are stored in a trie (WINDOW shingles; later ones are counted).
+   Each list walks the trie once, so that partial overlaps are shared by all sets below a node, and subtrees are pruned
+   where the overlap so far, what may still come below, and what may come after can't reach the bound. Of the lists that
+   remain, those go whose parity bitmaps differ in more bits than linked sets can differ in shingles.
+4. Round one gathers near copies: under a meeting point, lists come in order of how few shingles of their own they have;
+   one that meets a list in the trie proposes the best it meets and is not stored. So there are no more proposals than
+   lists, however large a group. Whole sets of proposed pairs are compared, and true links join classes into components.
+5. Round two finds every other link: each pair of classes of different components that the trie leaves is compared on
+   whole sets. Only meeting points that two components share take part. The component of the first list under a meeting
+   point is dealt out in blocks which all other lists visit, so its own pairs are never laid out; the other lists meet
+   in pairs of blocks.
 
 So no link between different components is lost, while no group of near copies is expanded into its pairs.
 
 Defined cases. Null or empty text: no shingles, links with nothing. Fewer than k words: the whole sequence is the one
 shingle. Repeated rows: a row each, in one group. Null ids: kept; a group's id is the smallest id that isn't null.
-Empty table: no rows. Extra columns aren't read. Whole texts count, however long.
+Empty table: no rows. Extra columns aren't read. Whole texts count, however long. Different sets whose 64-bit class
+numbers are equal get new numbers from their other 64 bits.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -34,14 +40,19 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .graph import components
-from .runtime import forget, partitions, ship, written
+from .runtime import forget, in_full, partitions, ship, written
 
-SEEDS = 8
 CELL_BITS = 21
 SLICES = 64
 BLOCK = 1024
 STAR = 2048
-PROPOSALS = 3
+WINDOW = 32
+BITMAP = 256
+ROWS = 4096
+PROPOSALS = 2
+SALT_AT = 1 << 20
+CLASS_BITS = 64
+PART_BYTES = 48 << 20
 BROADCAST_IDS = 1_000_000
 
 
@@ -59,38 +70,43 @@ def _sets(data, offsets, k):
     return s, np.searchsorted(s_row, np.arange(n_rows + 1))
 
 
-def _class_ids(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each row's set."""
+def _class_ids(s: np.ndarray, bounds: np.ndarray, bits: int = 64, clashes: dict[tuple[int, int], int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each row's set, the first of `bits` bits; clashes: numbers of classes that need another."""
     out = []
     for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textkit.mix(s ^ np.uint64(salt)), dtype=np.uint64)])
-        out.append(textkit.mix((run[bounds[1:]] - run[bounds[:-1]]) ^ textkit.mix(np.diff(bounds).astype(np.uint64) + np.uint64(salt))).view(np.int64))
-    return out[0], out[1]
+        out.append(textkit.mix((run[bounds[1:]] - run[bounds[:-1]]) ^ textkit.mix(np.diff(bounds).astype(np.uint64) + np.uint64(salt))))
+    cls, check = (out[0] >> np.uint64(64 - bits)).view(np.int64), out[1].view(np.int64)
+    if clashes:
+        for at in np.flatnonzero(np.isin(cls, np.array(list({c for c, _ in clashes}), np.int64))):
+            cls[at] = clashes.get((int(cls[at]), int(check[at])), cls[at])
+    return cls, check
 
 
-def _scan(k: int):
+def _bitmaps(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Rows x BITMAP / 8 bytes: the parity of each set's shingles in BITMAP cells. Bits in which two differ are shingles in which their sets differ, at least."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    bit = (textkit.mix(s ^ np.uint64(0xA4093822299F31D0)) % np.uint64(BITMAP)).astype(np.int64)
+    odd = np.bincount(row * BITMAP + bit, minlength=(len(bounds) - 1) * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, BITMAP), axis=1)
+
+
+def _scan(k: int, bits: int):
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.uint32)
-        names = ["id", "text_hash", "n", "cls", "check", "seeds", "slice", "counts"]
+        names = ["id", "text_hash", "n", "cls", "check", "bitmap", "slice", "counts"]
         for b in batches:
             data, offsets = textkit.buffers(b.column(2))
-            for i, j in textkit.slices(offsets):
+            for i, j in textkit.slices(offsets, rows=ROWS):
                 s, bounds = _sets(data, offsets[i : j + 1], k)
-                own, many = np.unique(s >> np.uint64(64 - CELL_BITS), return_counts=True)
-                cells[own.astype(np.int64)] += many.astype(np.uint32)
-                cls, check = _class_ids(s, bounds)
-                n = np.diff(bounds)
-                take = np.minimum(n, SEEDS)
-                # the smallest by a second hash, so that seeds and the global order don't go together
-                row = np.repeat(np.arange(j - i), n)
-                order = np.lexsort((textkit.mix(s), row))
-                at = np.arange(len(s)) - bounds[row]
-                seeds = s[order][at < SEEDS].view(np.int64)
-                seed_bounds = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int32()), pa.array(cls), pa.array(check), pa.ListArray.from_arrays(pa.array(seed_bounds), pa.array(seeds)), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                cells += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
+                cls, check = _class_ids(s, bounds, bits)
+                bitmap = textkit.binaries(_bitmaps(s, bounds).reshape(-1), np.arange(j - i + 1) * (BITMAP // 8))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(bounds), pa.int32()), pa.array(cls), pa.array(check), bitmap, pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         parts = cells.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        textkit.release()
 
     return run
 
@@ -119,7 +135,7 @@ def _only(docs: DataFrame, hashes: DataFrame, text_hash: str = "text_hash") -> D
     return docs.join(F.broadcast(hashes) if n <= BROADCAST_IDS else hashes, text_hash, "left_semi")
 
 
-def _whole_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _whole_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, ids) -> DataFrame:
     """cls, tokens (sorted 64-bit hashes as bytes) of the classes in `wanted`, from the texts again."""
     hashes = written(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("text_hash")).distinct(), "reps")
 
@@ -129,7 +145,7 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int)
             data, offsets = textkit.buffers(b.column(1))
             for i, j in textkit.slices(offsets):
                 s, bounds = _sets(data, offsets[i : j + 1], k)
-                cls, _ = _class_ids(s, bounds)
+                cls, _ = ids(s, bounds)
                 cut = textkit.binaries(s, bounds)
                 new = []
                 for at, c in enumerate(cls.tolist()):
@@ -140,7 +156,9 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, k: int)
         textkit.release()
 
     found = _only(texts.select("text_hash", "text"), hashes).select("text_hash", "text").mapInArrow(run, "cls long, tokens binary")
-    return written(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+    out = written(found.groupBy("cls").agg(F.first("tokens").alias("tokens")), "sets")
+    forget(hashes)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,172 +192,243 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 class Trie:
     """Ordered lists of shingles; a node holds the shingles that all lists below it go on with, and bounds for all of them."""
 
-    __slots__ = ("edge", "children", "ends", "least_n", "most_rest", "depth")
+    __slots__ = ("edge", "children", "ends", "least_n", "most_rest", "most_after", "depth")
 
-    def __init__(self, edge: tuple = (), n: int = 1 << 62, rest: int = 0, depth: int = 0):
-        self.edge, self.children, self.ends, self.least_n, self.most_rest, self.depth = edge, {}, [], n, rest, depth
+    def __init__(self, edge: tuple = (), n: int = 1 << 62, rest: int = 0, after: int = 0, depth: int = 0):
+        self.edge, self.children, self.ends, self.least_n, self.most_rest, self.most_after, self.depth = edge, {}, [], n, rest, after, depth
 
-    def add(self, path: tuple, item, n: int, rest: int) -> None:
-        node = self
-        node.note(n, rest, len(path))
+    def add(self, m: "Member", rest: int) -> None:
+        path, node = m.path, self
+        node.note(m, rest, len(path))
         while path:
             child = node.children.get(path[0])
             if child is None:
-                child = node.children[path[0]] = Trie(path, n, rest, 0)
-                child.ends.append(item)
+                child = node.children[path[0]] = Trie(path, m.n, rest, m.after, 0)
+                child.ends.append(m)
                 return
             edge = child.edge
             k, most = 1, min(len(edge), len(path))
             while k < most and edge[k] == path[k]:
                 k += 1
             if k < len(edge):  # part of the edge is shared: it becomes a node above
-                above = Trie(edge[:k], child.least_n, child.most_rest, child.depth + len(edge) - k)
+                above = Trie(edge[:k], child.least_n, child.most_rest, child.most_after, child.depth + len(edge) - k)
                 child.edge = edge[k:]
                 above.children[edge[k]] = child
                 node.children[path[0]] = child = above
             path = path[k:]
-            child.note(n, rest, len(path))
+            child.note(m, rest, len(path))
             node = child
-        node.ends.append(item)
+        node.ends.append(m)
 
-    def note(self, n: int, rest: int, left: int) -> None:
-        self.least_n, self.most_rest, self.depth = min(self.least_n, n), max(self.most_rest, rest), max(self.depth, left)
+    def note(self, m: "Member", rest: int, left: int) -> None:
+        self.least_n, self.most_rest, self.most_after, self.depth = min(self.least_n, m.n), max(self.most_rest, rest), max(self.most_after, m.after), max(self.depth, left)
 
-    def walk(self, path: tuple, n: int, rest: int, percent: int):
-        """(item, shared) for all lists below that may still link with this one of a set of n; shared counts from 1, the group's own shingle."""
-        own = set(path)
+    def walk(self, m: "Member", rest: int, percent: int):
+        """(member, shared) for all lists below that may still link with this one; shared counts from 1, the group's own shingle."""
+        own, size, n = set(m.path), len(m.path), m.n
         floor = -(-percent * n // 100)
-        stack = [(self, 1, len(path))]
+        stack = [(self, 1)]
         while stack:
-            node, shared, left = stack.pop()
-            # what may still come: below this node, from this list, and after the prefixes
-            if shared + min(left, node.depth) + max(rest, node.most_rest) < needed(n, max(node.least_n, floor), percent):
+            node, shared = stack.pop()
+            # what may still come: below this node, after the windows, and after the prefixes
+            if shared + min(size, node.depth) + max(m.after, node.most_after) + max(rest, node.most_rest) < needed(n, max(node.least_n, floor), percent):
                 continue
             for item in node.ends:
                 yield item, shared
             for child in node.children.values():
-                both = sum(map(own.__contains__, child.edge))
-                stack.append((child, shared + both, left - both))
+                stack.append((child, shared + sum(map(own.__contains__, child.edge))))
+
 
+@dataclass(slots=True)
+class Member:
+    """A list under a meeting point: its class, component, set's size, the shingles that follow (32 bits of each), how many follow after these, bitmap, side."""
 
-def trie_pairs(members: list[tuple], percent: int, cross: bool = False, thin: bool = False):
-    """Candidate pairs under one shared shingle; with thin=True, for each set only its best partner in each other component. members: (cls, comp, n, what follows the shingle in its list, side); with cross=True, pairs of different sides only."""
+    cls: int
+    comp: int
+    n: int
+    path: tuple
+    after: int
+    bitmap: int
+    side: int = 0
+
+
+def _may_link(x: Member, y: Member, shared: int, percent: int) -> bool:
+    n, m = x.n, y.n
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    least = needed(n, m, percent)
+    if shared + max(x.after, y.after) + max(n - prefix_length(n, percent), m - prefix_length(m, percent)) < least:
+        return False
+    return (x.bitmap ^ y.bitmap).bit_count() <= n + m - 2 * least
+
+
+def trie_pairs(members: list[Member], percent: int, cross: bool = False):
+    """Candidate pairs of classes of different components under one meeting point; with cross=True, of different sides only."""
     trie, pairs = Trie(), []
-    for cls, comp, n, path, side in sorted(members, key=lambda m: (m[4], m[2], m[0])):
-        rest = n - prefix_length(n, percent)
-        best: dict = {}
-        if not cross or side:
-            for (other, other_comp, m), shared in trie.walk(path, n, rest, percent):
-                if other_comp == comp or 100 * min(n, m) < percent * max(n, m):
-                    continue
-                if shared + max(rest, m - prefix_length(m, percent)) >= needed(n, m, percent):
-                    if not thin:
-                        pairs.append((min(cls, other), max(cls, other)))
-                    elif shared > best.get(other_comp, (0,))[0]:
-                        best[other_comp] = (shared, other)
-        pairs.extend((min(cls, other), max(cls, other)) for _, other in best.values())
-        if not cross or not side:
-            trie.add(path, (cls, comp, n), n, rest)
+    for m in sorted(members, key=lambda m: m.side) if cross else members:
+        rest = m.n - prefix_length(m.n, percent)
+        if not cross or m.side:
+            for other, shared in trie.walk(m, rest, percent):
+                if other.comp != m.comp and _may_link(m, other, shared, percent):
+                    pairs.append((min(m.cls, other.cls), max(m.cls, other.cls)))
+        if not cross or not m.side:
+            trie.add(m, rest)
     return pairs
 
 
-def _trie_round(postings: DataFrame, comps: DataFrame, percent: int, parts: int, thin: bool) -> DataFrame:
-    """Candidate pairs (a, b) of classes of different components, from the tries under all prefix shingles that such classes share."""
-    postings = postings.join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    crossing = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("token", "members")
-    alive = postings.join(crossing, "token")
-    lists = alive.groupBy("cls", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("cell", "token", "members"))).alias("own"))  # at most a prefix each
-    dealt = lists.select("cls", "comp", "n", F.transform("own", lambda x: x["token"]).alias("tokens"), F.posexplode("own").alias("at", "x"))
-    dealt = dealt.select("cls", "comp", "n", F.slice("tokens", F.col("at") + 2, F.size("tokens")).alias("tokens"), "x.token", F.ceil(F.col("x.members") / BLOCK).cast("int").alias("blocks"))
-    # a group of several blocks becomes a cell for each pair of blocks
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "comp", "n", "tokens", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+def trie_proposals(members: list[Member], percent: int):
+    """(class in the trie, class) for each list that meets one in the trie: the best; lists that meet none are stored."""
+    trie, pairs = Trie(), []
+    for m in members:
+        rest, best, most = m.n - prefix_length(m.n, percent), None, 0
+        for other, shared in trie.walk(m, rest, percent):
+            if shared > most and other.cls != m.cls and _may_link(m, other, shared, percent):
+                best, most = other, shared
+        if best:
+            pairs.append((best.cls, m.cls))
+        else:
+            trie.add(m, rest)
+    return pairs
+
+
+def _with_windows(postings: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Rows for all meeting points of each class: token, cls, comp, members, major, heads, n, dead (prefix shingles that nobody shares), after, window, bitmap."""
+
+    most = WINDOW
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        col = lambda c: t.column(c).cast(pa.int64()).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+        cls, token, n, comp, members, major, head = map(col, ("cls", "token", "n", "comp", "members", "major", "head"))
+        bitmaps, is_class = t.column("bitmap").combine_chunks(), t.column("token").is_null().combine_chunks().to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))  # a class's own row comes first
+        of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(cls))))
+        ends = np.append(begins[1:], len(cls))
+        at = np.flatnonzero(~is_class & col("meets").astype(bool))
+        last = ends[of[at]]
+        alive = last - begins[of[at]] - 1
+        size = np.minimum(last - at - 1, most)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        code = token.astype(np.uint64).astype(np.uint32).view(np.int32)  # its low 32 bits
+        inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size) + np.repeat(at + 1, size)
+        for i in range(0, len(at), 20_000):
+            j = min(len(at), i + 20_000)
+            own = at[i:j]
+            window = pa.ListArray.from_arrays(pa.array((bounds[i : j + 1] - bounds[i]).astype(np.int32)), pa.array(code[inside[bounds[i] : bounds[j]]]))
+            bitmap = bitmaps.take(pa.array(begins[of[own]]))
+            dead = prefix_length(n[own], percent) - alive[i:j]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[own]) for c in (token, cls, comp, members, major, head)], pa.array(n[own], pa.int32()), pa.array(dead, pa.int32()), pa.array((last[i:j] - own - 1 - size[i:j]), pa.int32()), window, bitmap], names)
+
+    names = ["token", "cls", "comp", "members", "major", "head", "n", "dead", "after", "window", "bitmap"]
+    own = classes.select("cls", *[F.lit(None).cast(t).alias(c) for c, t in (("token", "long"), ("cell", "long"), ("n", "int"), ("meets", "boolean"), ("comp", "long"), ("members", "long"), ("major", "long"), ("head", "long"))], "bitmap")
+    rows = postings.select("cls", "token", "cell", "n", "meets", "comp", "members", "major", "head").withColumn("bitmap", F.lit(None).cast("binary"))
+    dealt = own.unionByName(rows).repartition(parts, "cls").sortWithinPartitions("cls", F.asc_nulls_first("cell"), F.asc_nulls_first("token"))
+    return dealt.mapInArrow(run, "token long, cls long, comp long, members long, major long, head long, n int, dead int, after int, window array<int>, bitmap binary")
+
+
+def _met(cells: DataFrame, parts: int, percent: int, round_one: bool) -> DataFrame:
+    """The candidate pairs (a, b) that the tries of all cells (token, lo, hi) leave."""
 
-    def tries(batches):
+    def run(batches):
         key, group, pairs = None, [], set()
 
+        def tried():
+            if len(group) > 1:
+                pairs.update(trie_proposals(group, percent) if round_one else trie_pairs(group, percent, key[1] != key[2]))
+
         def out():
             a, b = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+            pairs.clear()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
-            for cls, comp, n, tokens, token, lo, hi, side in zip(*(c.to_pylist() for c in b.columns)):
-                if (token, lo, hi) != key:
-                    if len(group) > 1:
-                        pairs.update(trie_pairs(group, percent, cross=key[1] != key[2], thin=thin))
-                    key, group = (token, lo, hi), []
+            token, lo, hi, cls, comp, n, after, side = (b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6, 9))
+            path, bitmap = b.column(7), b.column(8).to_pylist()
+            cut, codes = path.offsets.to_pylist(), path.values.to_pylist()
+            for i in range(b.num_rows):
+                if (token[i], lo[i], hi[i]) != key:
+                    tried()
+                    key, group = (token[i], lo[i], hi[i]), []
                     if len(pairs) > 200_000:
                         yield out()
-                        pairs = set()
-                group.append((cls, comp, n, tuple(tokens), side))
-        if len(group) > 1:
-            pairs.update(trie_pairs(group, percent, cross=key[1] != key[2], thin=thin))
+                group.append(Member(cls[i], comp[i], n[i], tuple(codes[cut[i] : cut[i + 1]]), after[i], int.from_bytes(bitmap[i]), side[i]))
+        tried()
         yield out()
 
-    candidates = dealt.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(tries, "a long, b long")
-    return written(candidates.distinct(), "candidates")
+    order = ["token", "lo", "hi", "dead", "n", "cls"]
+    return cells.repartition(parts, "token", "lo", "hi").sortWithinPartitions(*order).select("token", "lo", "hi", "cls", "comp", "n", "after", "window", "bitmap", "side").mapInArrow(run, "a long, b long")
 
 
-def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, text_hash, n_shingles, cls (equal for equal sets), comp (equal for linked rows; null without shingles), component_id (the smallest id linked, directly or not)."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, text_hash long, n int, cls long, check long, seeds array<long>, slice int, counts binary"
-    scanned = written(texts.mapInArrow(_scan(k), schema), "shingle-sets")
-    rows = scanned.where("slice IS NULL").select("id", "text_hash", "n", "cls")
-    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.int64)
-    for r in scanned.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect():  # 2**CELL_BITS numbers in all
-        cells[r["slice"]] += np.frombuffer(r["counts"], np.int64)
-    order = spark.sparkContext.broadcast(cells.reshape(-1))
+def _proposed(lists: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Round one: a cell for each block of a meeting point's lists; its head, the list with the least of its own, is in all."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    cells = lists.withColumn("lo", F.explode(F.when(F.col("cls") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).withColumn("hi", F.col("lo")).withColumn("side", F.lit(0))
+    found = _met(cells, parts, percent, True).groupBy("a", "b").agg(F.count("*").alias("c"))
+    # a class may meet another partner under each of its shingles: those with most
+    best = found.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, PROPOSALS).alias("x"))  # a proposal for each task at most
+    return best.select("b", F.explode("x.a").alias("a")).select("a", "b")
+
 
-    classes = written(scanned.where("slice IS NULL AND n > 0").groupBy("cls", "check", "n").agg(F.min("text_hash").alias("rep"), F.first("seeds").alias("seeds"), F.min("id").alias("least_id")), "classes")
-    # 2. near copies by seeds: a few proposals for each class
-    seeds = classes.select("cls", "n", F.explode("seeds").alias("seed"))
-    head = lambda i: F.min_by(F.struct(F.col("cls").alias("head"), F.col("n").alias("m")), F.xxhash64("cls", F.lit(i)))
-    heads = seeds.groupBy("seed").agg(F.array_distinct(F.array(*[head(i) for i in range(PROPOSALS)])).alias("heads"), F.count("*").alias("size")).where("size > 1")
-    near = seeds.join(heads.drop("size"), "seed").select("cls", "n", F.explode("heads").alias("h")).select("cls", "n", "h.head", "h.m").where((F.col("cls") != F.col("head")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    best = near.groupBy("cls", "head").agg(F.count("*").alias("c")).groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "head")), False), 1, PROPOSALS).alias("x"))
-    best = best.select("cls", F.explode("x.head").alias("head"))  # a class has SEEDS * PROPOSALS heads at most
-    proposed = written(best.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct(), "proposed")
-    sets = _whole_sets(texts, proposed.select(F.col("a").alias("cls")).union(proposed.select("b")).distinct(), classes, k)
-    links = written(_verified(proposed, sets, percent), "links")
-    forget(sets, proposed)
-    first = components(links)
-
-    # 3. prefixes
-    parts = partitions(spark)
+def _crossing(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """The postings under shingles that two components share, with their components; members: of the major component, that of the head; others: the rest."""
+    postings = postings.drop("comp", "members", "major", "head").join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    shared = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", F.struct("n", "cls")).alias("major")).where("lo <> hi").select("token", "major")
+    alive = postings.join(shared, "token")
+    sizes = alive.groupBy("token").agg(F.count(F.when(F.col("comp") == F.col("major"), 1)).alias("members"), F.count(F.when(F.col("comp") != F.col("major"), 1)).alias("head"))
+    return alive.join(sizes, "token")
+
+
+def _remaining(lists: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Round two: the major component's lists lie in blocks that all others visit; the others meet in pairs of blocks."""
+    majors, others = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "head"))
+    lists = lists.withColumn("is_major", F.col("comp") == F.col("major"))
+    is_major = lists.where("is_major").withColumn("lo", F.pmod(F.xxhash64("cls"), majors).cast("int")).withColumn("hi", F.lit(-1)).withColumn("side", F.lit(0))
+    visits = lists.where("NOT is_major AND members > 0").withColumn("lo", F.explode(F.sequence(F.lit(0), majors - 1))).withColumn("hi", F.lit(-1)).withColumn("side", F.lit(1))
+    among = lists.where("NOT is_major AND head > 1").withColumn("own", F.pmod(F.xxhash64("cls"), others).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    among = among.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other")
+    return _met(is_major.unionByName(visits).unionByName(among), parts, percent, False).distinct()
+
+
+def _postings(texts: DataFrame, k: int, percent: int, order, ids, parts: int) -> DataFrame:
+    """token, cls, n, cell, meets, comp (cls), members, major, head: prefix shingles that classes of fitting sizes share."""
 
     def prefixes(batches):
         held, size = [], 0
         cell_counts = order.value
 
         def out():
-            tokens, cls, n = (np.concatenate(x) for x in zip(*held))
+            tokens, cls, n, place = (np.concatenate(x) for x in zip(*held))
             # one copy of a class's shingle in a task is enough
             at = np.lexsort((cls, tokens))
-            tokens, cls, n = tokens[at], cls[at], n[at]
-            first = np.ones(len(tokens), bool)
-            first[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
-            tokens, cls, n = tokens[first], cls[first], n[first]
-            bucket = (textkit.mix(tokens) % np.uint64(4 * parts)).astype(np.int32)
+            at = at[np.append(True, (tokens[at][1:] != tokens[at][:-1]) | (cls[at][1:] != cls[at][:-1]))]
+            tokens, cls, n, place = tokens[at], cls[at], n[at], place[at]
+            # a shingle of very many texts is dealt to several buckets
+            pieces = cell_counts[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) // np.uint64(SALT_AT) + np.uint64(1)
+            salt = textkit.mix(cls.view(np.uint64)) % pieces
+            bucket = (textkit.mix(tokens + salt) % np.uint64(4 * parts)).astype(np.int32)
             at = np.argsort(bucket, kind="stable")
-            tokens, cls, n, bucket = tokens[at], cls[at], n[at], bucket[at]
+            tokens, cls, n, place, bucket = tokens[at], cls[at], n[at], place[at], bucket[at]
             own, start = np.unique(bucket, return_index=True)
             bounds = np.append(start, len(bucket))
-            return pa.RecordBatch.from_arrays([pa.array(own), *[textkit.binaries(x, bounds) for x in (tokens, cls, n)]], ["bucket", "tokens", "cls", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(own), *[textkit.binaries(x, bounds) for x in (tokens, cls, n, place)]], ["bucket", "tokens", "cls", "n", "place"])
 
         for b in batches:
             data, offsets = textkit.buffers(b.column(0))
-            for i, j in textkit.slices(offsets):
+            for i, j in textkit.slices(offsets, rows=ROWS):
                 s, bounds = _sets(data, offsets[i : j + 1], k)
-                cls, _ = _class_ids(s, bounds)
+                cls, _ = ids(s, bounds)
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(j - i), n)
                 at = np.lexsort((s.view(np.int64), cell_counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], row))
                 place = np.arange(len(s)) - bounds[row]
                 ok = place < prefix_length(n, percent)[row]
-                held.append((s[at][ok], cls[row[ok]], n[row[ok]].astype(np.int32)))
+                short = place < (n - needed(n, n, percent) + 1)[row]
+                sizes = np.where(short, n[row], -n[row])  # negative: only against smaller sets
+                held.append((s[at][ok], cls[row[ok]], sizes[ok].astype(np.int32), np.minimum(place[ok], 255).astype(np.uint8)))
                 size += int(ok.sum())
                 if size > 2_000_000:
                     yield out()
@@ -350,42 +439,88 @@ def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
         textkit.release()
 
     def shared(batches):
-        got = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(n, np.int32)) for b in batches for t, c, n in zip(*(b.column(x).to_pylist() for x in (1, 2, 3)))]
+        got = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(n, np.int32), np.frombuffer(p, np.uint8)) for b in batches for t, c, n, p in zip(*(b.column(x).to_pylist() for x in (1, 2, 3, 4)))]
         if not got:
             return
-        tokens, cls, n = (np.concatenate(x) for x in zip(*got))
+        tokens, cls, n, place = (np.concatenate(x) for x in zip(*got))
         got.clear()
-        at = np.lexsort((cls, tokens))
-        tokens, cls, n = tokens[at], cls[at], n[at]
-        fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
-        tokens, cls, n = tokens[fresh], cls[fresh], n[fresh]
-        same = tokens[1:] == tokens[:-1]
-        many = np.zeros(len(tokens), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        cell = order.value[(tokens[many] >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-        tokens, cls, n = tokens[many].view(np.int64), cls[many], n[many]
+        short, n = n > 0, np.abs(n).astype(np.int64)
+        at = np.lexsort((cls, n, tokens))
+        at = at[np.append(True, (tokens[at][1:] != tokens[at][:-1]) | (cls[at][1:] != cls[at][:-1]))]
+        tokens, cls, n, place, short = tokens[at], cls[at], n[at], place[at], short[at]
+        # within a shingle by size: who has a partner of a fitting size, and where such a pair may meet first
+        group = np.cumsum(np.append(True, tokens[1:] != tokens[:-1])) - 1
+        key = (group << 32) + n
+        least = np.searchsorted(key, (group << 32) + -(-percent * n // 100))
+        most = np.searchsorted(key, (group << 32) + 100 * n // percent, "right")
+        equal = np.searchsorted(key, key, "right")
+        before = np.concatenate([[0], np.cumsum(short)])
+        cell = order.value[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+        salted = cell >= SALT_AT  # others may be in other buckets
+        many = (most - least > 1) | salted
+        smaller = before[equal] - before[least] - short  # short lists of at most this size, besides itself
+        larger = most - np.searchsorted(key, key) - 1
+        meets = salted | (smaller > 0) | (short & (larger > 0))
+        members = np.bincount(group, weights=meets).astype(np.int64)[group]
+        # the head: of the lists that meet, the one with the fewest shingles before this one
+        head = np.full(group[-1] + 1, -1, np.int64)
+        at = np.lexsort((cls, n, place, group))[::-1]
+        at = at[meets[at]]
+        head[group[at]] = cls[at]  # the last that is put there is the first in order
+        tokens, cls, n, cell, meets, members, head = (x[many] for x in (tokens.view(np.int64), cls, n.astype(np.int32), cell, meets, members, head[group]))
         for i in range(0, len(tokens), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (tokens, cls, n, cell)], ["token", "cls", "n", "cell"])
-
-    postings = texts.select("text").mapInArrow(prefixes, "bucket int, tokens binary, cls binary, n binary").repartition(parts, "bucket").mapInArrow(shared, "token long, cls long, n int, cell long")
-    postings = written(postings, "postings")
-    # twice: what the best partners link is one component when all pairs that are left are looked at
-    comps = first
-    for thin in (True, False):
-        candidates = _trie_round(postings, comps, percent, parts, thin)
+            own = [pa.array(x[i : i + 100_000]) for x in (tokens, cls, n, cell, meets, cls, members, cls, head)]
+            yield pa.RecordBatch.from_arrays(own, ["token", "cls", "n", "cell", "meets", "comp", "members", "major", "head"])
+        textkit.release()
+
+    packed = texts.select("text").mapInArrow(prefixes, "bucket int, tokens binary, cls binary, n binary, place binary").repartition(parts, "bucket")
+    return written(packed.mapInArrow(shared, "token long, cls long, n int, cell long, meets boolean, comp long, members long, major long, head long"), "postings")
+
+
+def link_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row: id, text_hash, n_shingles, cls (equal for equal sets), comp (equal for linked rows; null without shingles), component_id (the smallest id linked, directly or not)."""
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    schema = "id long, text_hash long, n int, cls long, check long, bitmap binary, slice int, counts binary"
+    bits = CLASS_BITS
+    scanned = written(texts.mapInArrow(_scan(k, bits), schema), "shingle-sets")
+    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.int64)
+    for r in scanned.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect():  # 2**CELL_BITS numbers in all
+        cells[r["slice"]] += np.frombuffer(r["counts"], np.int64)
+    order = spark.sparkContext.broadcast(cells.reshape(-1))
+    # prefixes are 20 bytes a shingle: as many parts as hold PART_BYTES each
+    parts = max(partitions(spark), ceil(int(cells.sum()) * 20 * (100 - percent) / 100 / PART_BYTES))
+
+    classes = scanned.where("slice IS NULL AND n > 0").groupBy("cls", "check", "n").agg(F.min("text_hash").alias("rep"), F.first("bitmap").alias("bitmap"), F.min("id").alias("least_id"))
+    classes = written(classes, "classes")
+    rows = scanned.where("slice IS NULL").select("id", "text_hash", "n", "cls", "check")
+    # different sets of one number: about one in 2**64 pairs of classes
+    clashes = {(r["cls"], r["check"]): r["new"] for r in classes.join(classes.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1"), "cls").select("cls", "check", F.xxhash64("cls", "check").alias("new")).collect()}
+    if clashes:
+        again = F.broadcast(spark.createDataFrame([(*key, new) for key, new in clashes.items()], "cls long, check long, new long"))
+        renamed = lambda t: t.join(again, ["cls", "check"], "left").withColumn("cls", F.coalesce("new", "cls")).drop("new")
+        classes, rows = renamed(classes), renamed(rows)
+    ids = lambda s, bounds: _class_ids(s, bounds, bits, clashes)
+
+    postings = _postings(texts, k, percent, order, ids, parts)
+    links = None
+    # what round one links is one component when all pairs that are left are looked at
+    for alive, found in ((lambda: postings, _proposed), (lambda: _crossing(postings, comps), _remaining)):
+        candidates = written(found(_with_windows(alive(), classes, parts, percent), parts, percent), "candidates")
         if not candidates.isEmpty():
-            sets = _whole_sets(texts, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct(), classes, k)
-            links = links.unionByName(written(_verified(candidates, sets, percent), "links"))
-            comps = components(links)
+            sets = _whole_sets(texts, candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct(), classes, k, ids)
+            true = written(_verified(candidates, sets, percent), "links")
+            links = true if links is None else links.unionByName(true)
             forget(sets)
         forget(candidates)
+        comps = components(links if links is not None else spark.createDataFrame([], "a long, b long"))
     forget(postings)
-    # 4. a group's id, by class, then for every row
+    # a group's id, by class, then for every row
     of_class = classes.select("cls", "least_id").join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_class = written(of_class.join(least, "comp").select("cls", "comp", "component_id"), "groups")
+    forget(classes)
     out = rows.join(of_class, "cls", "left")
     return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").cast("long").alias("n_shingles"), "cls", "comp", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -406,6 +541,6 @@ def one_each(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_
     keyed = own.select("*", F.coalesce(F.col(id_in).cast("long"), F.lit(0)).alias("_id"), F.col(id_in).isNull().alias("_no_id"), F.xxhash64(F.col(text_in).cast("string")).alias("_hash"), no_words.alias("_none"))
     on = ["_id", "_no_id", "_hash"]
     with_words = keyed.where(~F.col("_none")).join(F.broadcast(keep) if n <= BROADCAST_IDS else keep, on, "left_semi")
-    if not again:  # repeated rows: the first of equal keys
-        with_words = with_words.withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0)))).where("_nth = 1")
+    if not again:  # repeated rows: the first of equal keys, in the order of all their columns
+        with_words = with_words.withColumn("_nth", F.row_number().over(Window.partitionBy(*on).orderBy(*in_full(own)))).where("_nth = 1")
     return with_words.select(*inside).unionAll(keyed.where("_none").select(*inside)).toDF(*names)

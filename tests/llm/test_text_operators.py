@@ -136,12 +136,42 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert groups(jaccard_join.link_groups(docs(spark, rows))) == brute_groups(rows)
 
 
-def test_jaccard_trie_finds_links_without_seeds(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SEEDS", 0)
+def test_jaccard_join_without_round_one(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PROPOSALS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "WINDOW", 2)
+    monkeypatch.setattr(jaccard_join, "SALT_AT", 4)
     rows = near_copies(5, 6, 6)
     assert groups(jaccard_join.link_groups(docs(spark, rows))) == brute_groups(rows)
 
 
+def test_jaccard_join_of_equal_class_numbers(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CLASS_BITS", 4)
+    rows = ODD + [(i + 100, t) for i, t in near_copies(8, 6, 6)]
+    assert groups(jaccard_join.link_groups(docs(spark, rows))) == brute_groups(rows)
+
+
+def test_jaccard_join_of_a_large_family(spark):
+    """Copies of one text with 0 to 6 edits, most of them linked through the text itself, and a passage that all others share."""
+    rnd, words = random.Random(11), [f"w{i}" for i in range(3000)]
+    base, passage = [rnd.choice(words) for _ in range(140)], [rnd.choice(words) for _ in range(30)]
+    rows = [(0, " ".join(base))]
+    for _ in range(300):
+        own = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, " ".join(passage + [rnd.choice(words) for _ in range(rnd.randint(1, 60))])) for i in range(300)]
+    d = docs(spark, rows)
+    assert groups(jaccard_join.link_groups(d)) == brute_groups(rows)
+
+
+def test_trie_proposes_no_more_than_there_are_lists():
+    members = [jaccard_join.Member(i, i, 100, tuple(range(i % 3, 12)), 0, 0) for i in range(200)]
+    assert len(jaccard_join.trie_proposals(members, 85)) < 200
+    assert len(jaccard_join.trie_pairs(members, 85)) > 200
+
+
 def test_one_of_each_group(spark):
     d = docs(spark)
     kept = jaccard_join.one_each(d)
