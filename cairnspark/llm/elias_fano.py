@@ -1,4 +1,4 @@
-"""Elias-Fano sequences of sorted 64-bit keys with vectorised successor search, and files of arrays that are memory-mapped."""
+"""Elias-Fano sequences of sorted 64-bit numbers with vectorised search and access, byte-packed integers, and files of arrays that are memory-mapped."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ _64 = np.uint64(64)
 
 
 def build(keys: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays that hold strictly ascending uint64 keys: packed low bits, unary high bits, and zeros before each word of these."""
+    """Arrays that hold ascending uint64 numbers: packed low bits, unary high bits, and zeros before each word of these."""
     n = len(keys)
     low_bits = max(0, int(int(keys[-1]) // n).bit_length() - 1) if n else 0
     high = (keys >> np.uint64(low_bits)).astype(np.int64)
@@ -37,6 +37,7 @@ class Sequence:
     def __init__(self, a: dict[str, np.ndarray]):
         self.high, self.zeros, self.low = a["high"], a["zeros"], a["low"]
         self.n, self.low_bits = (int(x) for x in a["shape"])
+        self._ones: np.ndarray | None = None
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -49,20 +50,26 @@ class Sequence:
             x[spill] |= self.low[w[spill] + 1] << (_64 - off[spill])
         return x & np.uint64((1 << self.low_bits) - 1)
 
-    def _select0(self, h: np.ndarray) -> np.ndarray:
-        """Place of zero number h, from 0."""
-        w = np.searchsorted(self.zeros, h, side="right") - 1
-        left = h - self.zeros[w]
-        x = ~self.high[w]
-        place = np.zeros(len(h), np.int64)
+    def _select(self, before: np.ndarray, number: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of one or zero number `number`, from 0; before: how many stand before each word."""
+        w = np.searchsorted(before, number, side="right") - 1
+        left = number - before[w]
+        x = self.high[w] if ones else ~self.high[w]
+        place = np.zeros(len(number), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = left >= ones
-            left = np.where(up, left - ones, left)
+            there = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
+            up = left >= there
+            left = np.where(up, left - there, left)
             place += np.where(up, width, 0)
             x = np.where(up, x >> np.uint64(width), x)
         return w * 64 + place
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at these places."""
+        if self._ones is None:
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        return ((self._select(self._ones, i, True) - i) << self.low_bits) | self._low(i).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, or -1: the successor search within the run of equal high bits."""
         out = np.full(len(keys), -1, np.int64)
@@ -71,24 +78,46 @@ class Sequence:
         high = (keys >> np.uint64(self.low_bits)).astype(np.int64)
         ok = np.flatnonzero(high < self.zeros[-1])
         h = high[ok]
-        hi = self._select0(h) - h
+        hi = self._select(self.zeros, h, False) - h
         before = np.maximum(h - 1, 0)
-        lo = np.where(h > 0, self._select0(before) - before, 0)
+        lo = np.where(h > 0, self._select(self.zeros, before, False) - before, 0)
         want = keys[ok] & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(ok), np.uint64)
-        end = hi.copy()
-        todo = np.flatnonzero(lo < hi)
-        while len(todo):
-            mid = (lo[todo] + hi[todo]) // 2
-            less = self._low(mid) < want[todo]
-            lo[todo] = np.where(less, mid + 1, lo[todo])
-            hi[todo] = np.where(less, hi[todo], mid)
-            todo = todo[lo[todo] < hi[todo]]
-        here = np.flatnonzero(lo < end)
-        hit = here[self._low(lo[here]) == want[here]]
-        out[ok[hit]] = lo[hit]
+        at = search(lo, hi, want, self._low)
+        out[ok[at >= 0]] = at[at >= 0]
         return out
 
 
+def search(lo: np.ndarray, hi: np.ndarray, want: np.ndarray, value) -> np.ndarray:
+    """Where in its own run [lo, hi) of ascending value(places) each number stands, or -1."""
+    lo, end, hi = lo.copy(), hi, hi.copy()
+    todo = np.flatnonzero(lo < hi)
+    while len(todo):
+        mid = (lo[todo] + hi[todo]) >> 1
+        less = value(mid) < want[todo]
+        lo[todo] = np.where(less, mid + 1, lo[todo])
+        hi[todo] = np.where(less, hi[todo], mid)
+        todo = todo[lo[todo] < hi[todo]]
+    out = np.full(len(lo), -1, np.int64)
+    here = np.flatnonzero(lo < end)
+    hit = here[value(lo[here]) == want[here]]
+    out[hit] = lo[hit]
+    return out
+
+
+def packed(numbers: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned numbers in `width` bytes each."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
+
+
+def unpacked(raw: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
+    """The numbers at these places of `packed`."""
+    at = i * width
+    out = raw[at].astype(np.uint64)
+    for k in range(1, width):
+        out |= raw[at + k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
 def save(path: str, arrays: dict[str, np.ndarray]) -> None:
     """Arrays in one file, each at a multiple of 64 bytes. A second attempt of a task replaces the file with an equal one."""
     head, at = {}, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import read
+from .runtime import read, written
 
 
 #: The old layout that resharding starts from: whole sources, by their hash, in this many shards.
@@ -65,7 +65,9 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = language_id.held_out(F.col("doc_id"), 2, 7)
     model = lm_score.train(docs.where(~held_out), min_count=1)  # every n-gram of the training texts counts
-    return lm_score.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+    scores = written(lm_score.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out}), "scores")
+    lm_score.forgotten(spark, model)
+    return scores
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def one_to_a_task(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that repartition(n, column) puts into n different partitions."""
+    found: dict[int, int] = {}
+    tried = 64 * n
+    while len(found) < n:
+        tried *= 2
+        label = F.col("id").cast("int")
+        found = {r["p"]: r["label"] for r in spark.range(tried).groupBy(F.pmod(F.hash(label), F.lit(n)).alias("p")).agg(F.min(label).alias("label")).collect()}
+    return [found[p] for p in range(n)]
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the executors' path, once for each context."""
     sc = spark.sparkContext

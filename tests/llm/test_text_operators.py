@@ -275,6 +275,7 @@ def test_language_model(spark):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9) and a[4] == pytest.approx(b[4], rel=2e-3)
     none = lm_score.train(d.limit(0))
     assert none.total == 0 and lm_score.score(d, none, {}).count() == len(rows)
+    assert lm_score.score(d.limit(0), m, {"doc_id": F.col("doc_id")}).isEmpty()
 
 
 def test_language_model_query_counts_every_ngram(spark, tmp_path):
@@ -306,6 +307,41 @@ def test_language_model_query_counts_every_ngram(spark, tmp_path):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=2e-3, abs=1.3e-4 * b[1])  # half a step of the quantised log10 a token
 
 
+def test_language_model_in_many_files(spark, monkeypatch):
+    """A word that follows half of all words, cut over files: each context's successors are one ascending run, and scores don't depend on the cuts."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join("the" if rnd.random() < 0.5 else f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(40)))) for i in range(200)]
+    d = docs(spark, rows)
+    own = lm_score.train(d, min_count=1)
+    monkeypatch.setattr(lm_score, "FILE_ENTRIES", 150)
+    cut = lm_score.train(d, min_count=1)
+    assert len(cut.levels[2].paths) > 20 and len(own.levels[2].paths) == 4 and any(len(s) for s in cut.split)
+    a, b = ({r.doc_id: r for r in lm_score.score(d, m, {"doc_id": F.col("doc_id")}).collect()} for m in (own, cut))
+    assert all(a[i][:4] == b[i][:4] and a[i].score == pytest.approx(b[i].score, abs=1e-3 * b[i].n_tokens) for i in a)
+    train = [["<", *white_words(t), None] for _, t in rows]
+    for k in (2, 3):
+        assert cut.levels[k - 1].begins[-1] == len({g for t in train for g in zip(*[t[j:] for j in range(k)])})
+        last = -1
+        for i in range(len(cut.levels[k - 1].paths)):
+            if cut.levels[k - 1].begins[i + 1] == cut.levels[k - 1].begins[i]:
+                continue
+            f = cut.levels[k - 1].file(i)
+            runs, n = f["sequence"].get(np.arange(len(f["used"]) + 1)), len(f["p"])
+            assert runs[0] == 0 and runs[-1] == n and (np.diff(runs) >= 0).all()
+            words = lm_score.elias_fano.unpacked(f["words"], int(f["width"][0]), np.arange(n)).astype(np.int64)
+            keys = np.repeat(int(f["first"][0]) + np.arange(len(runs) - 1), np.diff(runs)) * (cut.vocabulary + 1) + words
+            assert keys[0] > last and (np.diff(keys) > 0).all()
+            last = keys[-1]
+
+
+def test_packed_counts_return():
+    rng = np.random.default_rng(4)
+    for keys in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))):
+        counts = rng.integers(1, 70_000, len(keys))
+        got = lm_score._unpack(lm_score._pack(keys, counts))
+        assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+
+
 def test_elias_fano_finds_all():
     from cairnspark.llm import elias_fano
 
@@ -315,6 +351,7 @@ def test_elias_fano_finds_all():
         s, at = elias_fano.Sequence(elias_fano.build(keys)), {int(k): i for i, k in enumerate(keys)}
         asked = np.concatenate([keys, rng.integers(0, top, 300, dtype=np.uint64)])
         assert s.find(asked).tolist() == [at.get(int(k), -1) for k in asked]
+        assert top > 1 << 61 or s.get(np.arange(n and len(keys))).tolist() == keys.tolist()
 
 
 # --- quality ---
