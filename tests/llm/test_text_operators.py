@@ -223,16 +223,36 @@ def test_pipeline_drops_texts_of_no_learned_language(spark):
 
 
 # --- token counts ---
+def token_texts():
+    rnd = random.Random(2)
+    some = lambda signs, n, times: ["".join(rnd.choice(signs) for _ in range(n)) for _ in range(times)]
+    fixed = ["  a  b \n c d", "x<|endoftext|> y <|endoftext|>", "a" * 3000, " " * 900, "it's  we'll\t\n 12 3", "日本 語" * 200, "日本語漢字仮名" * 150, "🎉🎈é" * 100, "<|endoftext|>" * 40, "<|endof" * 50 + "text|>", "a \x1c b\x1d c  d", "end "]
+    return [*fixed, *some("ab c\n'1é.日<|>", 600, 30), *some("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", 2000, 6), *some("abcdefghijklmnopqrstuvwxyz", 2000, 6), *some("的一是不了人我在有他这为之大来", 1000, 6)]
+
+
 def test_token_counts_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    e = token_counts.Encoder(path, 50)
-    rnd = random.Random(2)
-    texts = ["  a  b \n c d", "x<|endoftext|> y <|endoftext|>", "a" * 3000, " " * 900, "it's  we'll\t\n 12 3", "日本 語" * 200, "a \x1c b\x1d c  d", "end "] + ["".join(rnd.choice("ab c\n'1é.") for _ in range(600)) for _ in range(20)]
-    for t in texts:
+    e = token_counts.Encoder(path)
+    for t in token_texts():
         want = len(e.library.encode(t, add_special_tokens=False))
-        assert {token_counts.spliced_count(e, t, c, o) for c, o in ((10_000, 8), (50, 8), (200, 16), (17, 3))} == {want}, t[:50]
+        assert {token_counts.spliced_count(e, t, c, o) for c, o in ((10_000, 8), (50, 8), (200, 40), (17, 3), (97, 60), (30, 29))} == {want}, t[:50]
     got = {r.doc_id: r for r in token_counts.token_counts(docs(spark), path).collect()}
     assert got[2].n_tokens == 0 and got[2].n_bytes == 0 and got[9].n_tokens == len(e.library.encode("long " * 40_000, add_special_tokens=False))
+    assert token_counts.token_counts(docs(spark).limit(0), path).isEmpty()
+
+
+def test_token_counts_of_long_texts_without_blanks(monkeypatch):
+    """A megabyte of letters, or of Chinese, is spliced from chunks that stay small."""
+    e = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd, longest = random.Random(5), []
+    whole = e.tokens
+    monkeypatch.setattr(e, "tokens", lambda t: (longest.append(len(t)), whole(t))[1])
+    for signs, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("的一是不了人我在有他这为之大", 350_000), ("abcXYZ019+/", 1_000_000)):
+        t = "".join(rnd.choice(signs) for _ in range(n))
+        want = len(e.library.encode(t, add_special_tokens=False))
+        longest.clear()
+        assert token_counts.spliced_count(e, t, 20_000, 64) == want
+        assert max(longest) <= 25_000 and len(longest) < 1.3 * n / 20_000 + 3
 
 
 # --- language model ---
