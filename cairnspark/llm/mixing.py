@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import in_blocks
-from .runtime import partitions, ship, written
+from .runtime import forget, in_full, partitions, ship, written
 
 BLOCK_ROWS = 16
 QUANTA = 1_000
@@ -166,11 +166,13 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
 
     table = spark.createDataFrame(offsets, "source string, block int, before long")
     seq = numbered.join(F.broadcast(table), ["source", "block"]).select("id", "text_hash", "source", (F.col("before") + F.col("rn")).alias("seq"))
-    return seq.mapInArrow(run, "id long, text_hash long, source string, seq long, block long, slot long, position long").withColumnRenamed("id", id_col)
+    out = written(seq.mapInArrow(run, "id long, text_hash long, source string, seq long, block long, slot long, position long"), "places")
+    forget(narrow)
+    return out.withColumnRenamed("id", id_col)
 
 
 def by_row(docs: DataFrame, given: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
-    """`docs` with the columns of `given`, which has a row for each of theirs with its id and text_hash. Equal rows get the values in any order."""
+    """`docs` with the columns of `given`, which has a row for each of theirs with its id and text_hash. Rows of equal id and text get the values in the order of all their columns."""
     keys = [f"_{c}" for c in ("id", "hash", "nth")]
     given = written(given.select(F.coalesce(F.col(id_col), F.lit(0)).alias(keys[0]), F.col(id_col).isNull().alias("_null"), F.col("text_hash").alias(keys[1]), *[F.col(c).alias(f"_v_{c}") for c in columns]), "given")
     own = docs.withColumn(keys[0], F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_null", F.col(id_col).isNull()).withColumn(keys[1], F.xxhash64(F.col(text_col).cast("string")))
@@ -179,7 +181,7 @@ def by_row(docs: DataFrame, given: DataFrame, id_col: str, text_col: str, column
     if (sizes["most"] or 0) > 1:
         w = Window.partitionBy(*on)
         given = given.withColumn(keys[2], F.row_number().over(w.orderBy(*[f"_v_{c}" for c in columns])))
-        own = own.withColumn(keys[2], F.row_number().over(w.orderBy(F.lit(0))))
+        own = own.withColumn(keys[2], F.row_number().over(w.orderBy(*in_full(docs))))
         on.append(keys[2])
     if (sizes["rows"] or 0) <= BROADCAST_ROWS:
         given = F.broadcast(given)

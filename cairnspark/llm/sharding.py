@@ -2,14 +2,20 @@
 
 The flow network has an edge from each old to each new shard, with the cost of moving a byte (0 to where it is, 1
 elsewhere, or a given matrix); successive shortest paths solve it exactly on the driver, as it has only shards for nodes.
-Rows then carry the flow out. The largest rows (at most LARGE of them) are placed first, one by one, staying where they
-are while there is room; the flow is solved for the rest, whose rows are laid out along each old shard and cut where its
-flows end. So shards differ from their capacity by about a row of ordinary size.
+Where old shards stand in an order that new ones are to keep, cost grows with the distance and a sweep over both in
+order is the minimum, in time that grows with the number of shards.
+
+The flow is solved for all bytes, and rows carry it out: a row lies where its middle does. Each old shard is laid out by
+size, the largest rows first, and cut where its flows end, what stays first; so cuts fall among small rows, and a new
+shard differs from its capacity by about half a small row for each cut. Only rows of more than 1/GIANTS of a shard's
+capacity (fewer than GIANTS a shard, whatever the input) are placed one by one before, where they are if there is room;
+the flow is that of the rest.
 
 Laws: "bytes" (sizes near equal) and "rows" (counts at most one apart). A row's size is its text's UTF-8 bytes plus 1.
 
-Defined cases. Null text: size 1. Repeated rows: a place each. Null old shard: shard 0. Empty table: no rows. Extra
-columns pass through `resharded`. Fewer rows than shards: some shards are empty.
+Defined cases. Null text: size 1. Null id: a row as others. Equal texts: rows as others, so a group of copies may lie in
+several shards. Repeated rows: a place each. Ties: rows of equal id and text are interchangeable. Null old shard: shard
+0. Empty table: no rows. Extra columns pass through `resharded`. Fewer rows than shards: some shards are empty.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from .numbering import in_blocks
 from .runtime import forget, written
 
 SHARDS = 8
-LARGE = 2_000
+GIANTS = 32
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[float]]) -> list[list[int]]:
@@ -64,6 +70,24 @@ def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence
     return flow
 
 
+def sweep_flow(supply: Sequence[int], capacity: Sequence[int]) -> list[list[tuple[int, int]]]:
+    """For each old shard (new shard, units), both in order: the least cost wherever cost grows with the distance between the places of the two."""
+    if sum(supply) > sum(capacity):
+        raise ValueError("the new shards hold less than there is")
+    out, j, room = [], 0, list(capacity)
+    for left in supply:
+        own = []
+        while left:
+            take = min(left, room[j])
+            if take:
+                own.append((j, take))
+            left -= take
+            room[j] -= take
+            j += not room[j]
+        out.append(own)
+    return out
+
+
 def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
@@ -71,45 +95,42 @@ def even(total: int, parts: int) -> list[int]:
 def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "bytes", cost: Sequence[Sequence[float]] | None = None, old_shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None) -> DataFrame:
     """One row for each row: id, text_hash, size, text_crc32, old_shard, shard, slot (gapless from 0 in its shard).
 
-    With `order`, a row's number from 0 in its old shard, rows are laid out and slots follow in that order (but for the
-    largest rows, which come first); without, in an order by hash.
+    With `order`, a row's number from 0 in its old shard, the old shards in order are one sequence that the new ones cut:
+    slots follow it (but for giant rows, which come first). Without, rows of an old shard are laid out by size and hash.
     """
     if law not in ("bytes", "rows"):
         raise ValueError(f"no law {law!r}")
     spark = docs.sparkSession
     old_shards = old_shards or shards
     text = F.col(text_col).cast("string")
-    rows = written(
-        docs.select(
-            F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.pmod(F.coalesce(old_shard.cast("int"), F.lit(0)), F.lit(old_shards)).alias("old_shard"),
-            *([order.cast("long").alias("place")] if order is not None else []),
-        ).withColumn("w", F.col("size") if law == "bytes" else F.lit(1).cast("long")), "rows")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.pmod(F.coalesce(old_shard.cast("int"), F.lit(0)), F.lit(old_shards)).alias("old_shard"),
+        *([order.cast("long").alias("place")] if order is not None else []),
+    ).withColumn("w", F.col("size") if law == "bytes" else F.lit(1).cast("long"))
+    # a layout group: an old shard's rows of sizes within a factor of 2
+    group = F.col("old_shard") * 64 + (F.lit(0) if order is not None else F.lit(63) - F.floor(F.log2("w")).cast("int"))
+    rows = written(rows.withColumn("grp", group), "rows")
     sizes = {r["old_shard"]: r["w"] for r in rows.groupBy("old_shard").agg(F.sum("w").alias("w")).collect()}
     supply = [sizes.get(i, 0) for i in range(old_shards)]
     room = even(sum(supply), shards)
-    cost = cost or [[0 if i == j else 1 for j in range(shards)] for i in range(old_shards)]
+    slots = [0] * shards
 
-    # the largest rows, one by one
+    # giant rows, one by one
+    most = max(1, sum(supply) // (shards * GIANTS))
     by_size = [F.desc("w"), F.asc("old_shard"), F.asc_nulls_first("id"), F.asc("text_hash")]
-    least = None
-    if law == "bytes":
-        n_rows = rows.count()
-        top = rows.orderBy(F.desc("w")).select("w").limit(min(LARGE, n_rows // 2) + 1).collect()
-        least = top[-1]["w"] if top else None
-    slots = [0] * shards
-    large = rows.where(F.col("w") > least).withColumn("rank", F.row_number().over(Window.orderBy(*by_size))) if least is not None else None  # fewer than LARGE rows
-    large_at = []
-    if large is not None:
-        for r in large.select("rank", "w", "old_shard").orderBy("rank").collect():
-            i, w = r["old_shard"], r["w"]
-            fits = [j for j in range(shards) if room[j] >= w]
-            j = i if i in fits else min(fits, key=lambda j: (cost[i][j], -room[j])) if fits else max(range(shards), key=lambda j: room[j])
-            large_at.append((r["rank"], j, slots[j]))
-            slots[j] += 1
-            room[j] -= w
-            supply[i] -= w
-    # a shard that a large row has filled beyond its share takes nothing more
+    giant = rows.where(F.col("w") > most).withColumn("rank", F.row_number().over(Window.orderBy(*by_size)))  # fewer than shards * GIANTS
+    giant_at = []
+    for r in giant.select("rank", "w", "old_shard").orderBy("rank").collect() if law == "bytes" else ():
+        i, w = r["old_shard"], r["w"]
+        fits = [j for j in range(shards) if room[j] >= w]
+        at = lambda j: ((cost[i][j] if cost else i != j), -room[j])
+        j = min(fits, key=at) if fits else max(range(shards), key=lambda j: room[j])
+        giant_at.append((r["rank"], j, slots[j]))
+        slots[j] += 1
+        room[j] -= w
+        supply[i] -= w
+    # a shard that giant rows have filled beyond its share takes nothing more; the others share what is left evenly
     over = sum(-x for x in room if x < 0)
     room = [max(0, x) for x in room]
     while over:
@@ -117,41 +138,44 @@ def place(docs: DataFrame, old_shard: Column, shards: int = SHARDS, law: str = "
         cut = min(over, max(1, room[j] // 8))
         room[j] -= cut
         over -= cut
-    flow = min_cost_flow(supply, room, cost)
 
-    small = rows.where(F.col("w") <= least) if least is not None else rows
-    numbered, blocks = in_blocks(small, "old_shard", ["id", "text_hash"], ["w"], place="place" if order is not None else None)
+    if order is not None and cost is None:
+        flow = sweep_flow(supply, room)
+    else:
+        found = min_cost_flow(supply, room, cost or [[int(i != j) for j in range(shards)] for i in range(old_shards)])
+        flow = [[(j, found[i][j]) for j in sorted(range(shards), key=lambda j: (j != i, j)) if found[i][j]] for i in range(old_shards)]  # what stays comes first
+    cuts = []
+    for i, own in enumerate(flow):
+        ends = [sum(n for _, n in own[: k + 1]) for k in range(len(own))]
+        cuts.append((i, list(zip(ends, [j for j, _ in own]))))
+
+    small = rows.where(F.col("w") <= most) if giant_at else rows
+    numbered, blocks = in_blocks(small, "grp", ["id", "text_hash"], ["w"], place="place" if order is not None else None)
     offsets, before, last = [], 0, None
     for b in blocks:
-        before = 0 if b["old_shard"] != last else before
-        offsets.append((b["old_shard"], b["block"], before))
-        before, last = before + b["w"], b["old_shard"]
-    cuts = []
-    for i in range(old_shards):
-        end, own = 0, []
-        for j in sorted(range(shards), key=lambda j: (j != i, j)):  # what stays comes first
-            if flow[i][j]:
-                end += flow[i][j]
-                own.append((end, j))
-        cuts.append((i, own))
-    at = spark.createDataFrame(offsets, "old_shard int, block int, before long")
+        before = 0 if b["grp"] // 64 != last else before
+        offsets.append((b["grp"], b["block"], before))
+        before, last = before + b["w"], b["grp"] // 64
+    at = spark.createDataFrame(offsets, "grp int, block int, before long")
     cut = spark.createDataFrame(cuts, "old_shard int, cuts array<struct<upto:long,shard:int>>")
     middle = F.col("before") + F.col("run_w") + (F.floor(F.col("w") / 2) if law == "bytes" else F.lit(0))
-    laid = numbered.join(F.broadcast(at), ["old_shard", "block"]).join(F.broadcast(cut), "old_shard").withColumn("middle", middle)
+    laid = numbered.join(F.broadcast(at), ["grp", "block"]).join(F.broadcast(cut), "old_shard").withColumn("middle", middle)
     shard = F.coalesce(F.element_at(F.filter("cuts", lambda c: F.col("middle") < c["upto"]), F.lit(1))["shard"], F.element_at("cuts", -1)["shard"])
-    laid = written(laid.select("id", "text_hash", "size", "text_crc32", "old_shard", "block", "rn", shard.alias("shard")), "laid")
+    laid = written(laid.select("id", "text_hash", "size", "text_crc32", "old_shard", "grp", "block", "rn", shard.alias("shard")), "laid")
     # slots: runs of one shard within a block are contiguous
-    runs = laid.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"), F.min("rn").alias("first")).collect()  # at most a few more than blocks
+    runs = laid.groupBy("shard", "grp", "block").agg(F.count("*").alias("n"), F.min("rn").alias("first")).collect()  # at most a few more than blocks
     starts = []
-    for r in sorted(runs, key=lambda r: (r["shard"], r["old_shard"], r["block"])):
-        starts.append((r["shard"], r["old_shard"], r["block"], slots[r["shard"]] - r["first"]))
+    for r in sorted(runs, key=lambda r: (r["shard"], r["grp"], r["block"])):
+        starts.append((r["shard"], r["grp"], r["block"], slots[r["shard"]] - r["first"]))
         slots[r["shard"]] += r["n"]
-    start = spark.createDataFrame(starts, "shard int, old_shard int, block int, start long")
+    start = spark.createDataFrame(starts, "shard int, grp int, block int, start long")
     columns = ["id", "text_hash", "size", "text_crc32", "old_shard", "shard"]
-    out = laid.join(F.broadcast(start), ["shard", "old_shard", "block"]).select(*columns, (F.col("start") + F.col("rn")).alias("slot"))
-    if large_at:
-        table = spark.createDataFrame(large_at, "rank int, shard int, slot long")
-        out = out.unionByName(large.join(F.broadcast(table), "rank").select(*columns, "slot"))
+    out = laid.join(F.broadcast(start), ["shard", "grp", "block"]).select(*columns, (F.col("start") + F.col("rn")).alias("slot"))
+    if giant_at:
+        table = spark.createDataFrame(giant_at, "rank int, shard int, slot long")
+        out = out.unionByName(giant.join(F.broadcast(table), "rank").select(*columns, "slot"))
+    out = written(out, "places")
+    forget(rows, laid)
     return out.withColumnRenamed("id", id_col)
 
 

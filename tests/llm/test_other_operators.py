@@ -92,6 +92,33 @@ def test_min_cost_flow():
         assert sum(f * c for fr, cr in zip(flow, cost) for f, c in zip(fr, cr)) == brute_cost(supply, room)
 
 
+def test_sweep_moves_least_where_cost_grows_with_distance():
+    rnd = random.Random(8)
+    for _ in range(50):
+        n, m = rnd.randint(1, 7), rnd.randint(1, 5)
+        supply = [rnd.randint(0, 60) for _ in range(n)]
+        room = sharding.even(sum(supply), m)
+        cost = [[abs(j - i * m / n) for j in range(m)] for i in range(n)]
+        best = sharding.min_cost_flow(supply, room, cost)
+        swept = sharding.sweep_flow(supply, room)
+        assert [sum(k for _, k in own) for own in swept] == supply
+        assert sum(k * cost[i][j] for i, own in enumerate(swept) for j, k in own) == pytest.approx(sum(f * c for fr, cr in zip(best, cost) for f, c in zip(fr, cr)))
+
+
+def test_bytes_moved_are_those_of_the_flow(spark):
+    """Rows carry out the flow of all bytes, but for at most half a row at each cut."""
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").where("octet_length(text) < 60000")
+    rows = sharding.place(d, queries.old_layout(), 8, old_shards=6).collect()
+    old, new, moved = Counter(), Counter(), 0
+    for r in rows:
+        old[r.old_shard] += r["size"]
+        new[r.shard] += r["size"]
+        moved += r["size"] * (r.shard != r.old_shard)
+    total, largest = sum(old.values()), max(r["size"] for r in rows)
+    least = brute_cost([old[i] for i in range(6)], sharding.even(total, 8))
+    assert largest <= total / (8 * sharding.GIANTS) and abs(moved - least) <= 8 * largest and max(abs(n - total / 8) for n in new.values()) <= largest
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows"])
 def test_sharding(spark, law):
     d = spark.read.parquet(f"{SF}/documents.parquet")
