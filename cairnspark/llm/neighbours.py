@@ -6,12 +6,14 @@
 3. A query keeps a priority queue of tree nodes by distance to their centre; it opens the nearest, so leaves come out in
    order of promise. How many leaves a query visits is calibrated: for CALIBRATION of the queries the true neighbours
    among all vectors are found by brute force, and visits are widened until their recall is TARGET_RECALL or more.
+   A query goes on to further leaves while those it has hold fewer than k candidates.
 4. A query meets the vectors of its leaves in blocks: a leaf of many vectors (copies, a hot region) is several blocks,
    and each gives at most k candidates for each query. Distances are exact, in double precision, on original vectors.
 
 Defined cases. Vectors null, empty, zero, of another length than most, or with null or non-finite components take no
 part, as query or candidate. Null ids take no part. Ties: smaller id. Repeated rows of one id: candidates each, but never
-of a query with that id. Fewer candidates than k: all of them. Empty table: no rows. Extra columns are not read.
+of a query with that id; as queries, equal rows are answered once, different vectors each with ranks of their own. Fewer
+candidates than k: all of them. Empty table: no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, ship, written
+from .runtime import forget, partitions, ship, written
 
 SAMPLE, BRANCH, LEAF_SAMPLE, MOST_LEAVES = 20_000, 8, 64, 4096
 CALIBRATION, TARGET_RECALL = 64, 0.97
@@ -67,19 +69,28 @@ class Tree:
             stack.extend((kid, at[near == i]) for i, kid in enumerate(kids))
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves for a query, most promising first."""
-        out: list[int] = []
+    def best_bins(self, q: np.ndarray):
+        """The leaves for a query, most promising first, each found when it is asked for."""
         queue = [(0.0, 0)]
-        while queue and len(out) < most:
+        while queue:
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
-                out.append(self.leaf[node])
+                yield self.leaf[node]
                 continue
             d = ((self.matrix[kids] - q) ** 2).sum(axis=1)
             for kid, x in zip(kids, d.tolist()):
                 heapq.heappush(queue, (x, kid))
+
+    def visited(self, q: np.ndarray, visits: int, sizes: dict[int, int], least: int) -> list[int]:
+        """The first `visits` leaves that aren't empty, and as many more as it takes to hold `least` vectors, if there are so many."""
+        out, held = [], 0
+        for leaf in self.best_bins(q):
+            if len(out) >= visits and held >= least:
+                break
+            if sizes.get(leaf):
+                out.append(leaf)
+                held += sizes[leaf]
         return out
 
 
@@ -141,14 +152,16 @@ def _nearest(q_ids, q, ids, x, k):
             yield qid, ids[best], row[best]
 
 
-def _found(rows) -> pa.RecordBatch:
-    rows = list(rows)
-    n = [len(i) for _, i, _ in rows]
-    cat = lambda at, t: np.concatenate([r[at] for r in rows]).astype(t) if rows else np.zeros(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _, _ in rows], np.int64), n)), pa.array(cat(1, np.int64)), pa.array(np.sqrt(cat(2, float)))], ["query_id", "vec_id", "score"])
+def _found(of: list[int], answers) -> pa.RecordBatch:
+    """of: which row of its id each query is."""
+    answers = list(answers)
+    n = [len(i) for _, i, _ in answers]
+    cat = lambda at, t: np.concatenate([r[at] for r in answers]).astype(t) if answers else np.zeros(0, t)
+    own = [np.repeat(np.array(x, np.int64), n) for x in ([q for q, _, _ in answers], of)]
+    return pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(cat(1, np.int64)), pa.array(np.sqrt(cat(2, float)))], ["query_id", "row", "vec_id", "score"])
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_id long, row long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -188,64 +201,59 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def bins(batches):
         for b in batches:
             t, x = held.value, _vectors(b.column(1), width) if b.num_rows else np.zeros((0, width))
-            # as many more leaves as it takes to hold k candidates besides the query
-            lists = []
-            for q in x:
-                order = t.best_bins(q, t.n_leaves if n <= 4 * k else visits + 4)
-                seen, take = 0, []
-                for leaf in order:
-                    if len(take) >= visits and seen > k:
-                        break
-                    if sizes.get(leaf):
-                        take.append(leaf)
-                        seen += sizes[leaf]
-                lists.append(take)
+            # besides k candidates, the leaves may hold all rows of the query's own id
+            lists = [t.visited(q, visits, sizes, k + own) for q, own in zip(x, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "vec", "leaves"])
 
     # a leaf's vectors are dealt into blocks of at most about BLOCK_VECTORS, its queries into blocks as well
     table = spark.createDataFrame([(leaf, -(-c // BLOCK_VECTORS)) for leaf, c in sizes.items()], "leaf int, blocks int")
-    asked = queries.select("id", "vec").distinct().mapInArrow(bins, "id long, vec array<double>, leaves array<int>").select("id", "vec", F.explode("leaves").alias("leaf"))
-    asked = asked.join(F.broadcast(table), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "vec")
-    stored = index.join(F.broadcast(table), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "vec")
+    own_rows = queries.groupBy("id").agg(F.count("*").alias("own"))
+    asked = queries.select("id", "vec").distinct().join(own_rows, "id").select("id", "vec", "own").mapInArrow(bins, "id long, vec array<double>, leaves array<int>").select("id", "vec", F.explode("leaves").alias("leaf"))
+    asked = asked.join(F.broadcast(table), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "vec", F.xxhash64("vec").alias("row"))
+    stored = index.join(F.broadcast(table), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "vec", F.lit(0).cast("long").alias("row"))
 
     def meet(batches):
-        key, ids, x, q_ids, q = None, [], [], [], []
+        key, ids, x, q_ids, q, rows = None, [], [], [], [], []
 
         def answers():
             if ids and q_ids:
-                return _found(_nearest(np.array(q_ids, np.int64), np.array(q), np.concatenate(ids), np.concatenate(x), k))
+                return _found(rows, _nearest(np.array(q_ids, np.int64), np.array(q), np.concatenate(ids), np.concatenate(x), k))
             return None
 
         for b in batches:
             if not b.num_rows:
                 continue
             leaf, block, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            own, vec = b.column(3).to_numpy(zero_copy_only=False), _vectors(b.column(4), width)
+            own, vec, row = b.column(3).to_numpy(zero_copy_only=False), _vectors(b.column(4), width), b.column(5).to_numpy(zero_copy_only=False)
             change = np.flatnonzero((leaf[1:] != leaf[:-1]) | (block[1:] != block[:-1])) + 1
             for a, e in zip(np.append(0, change), np.append(change, len(leaf))):
                 if (leaf[a], block[a]) != key:
                     got = answers()
                     if got is not None:
                         yield got
-                    key, ids, x, q_ids, q = (leaf[a], block[a]), [], [], [], []
+                    key, ids, x, q_ids, q, rows = (leaf[a], block[a]), [], [], [], [], []
                 is_q = asks[a:e].astype(bool)
                 ids.append(own[a:e][~is_q])
                 x.append(vec[a:e][~is_q])
                 # vectors sort before queries, so queries can be answered as they come
                 q_ids.extend(own[a:e][is_q].tolist())
                 q.extend(vec[a:e][is_q])
+                rows.extend(row[a:e][is_q].tolist())
                 if len(q_ids) >= BLOCK_QUERIES:
                     got = answers()
                     if got is not None:
                         yield got
-                    q_ids, q = [], []
+                    q_ids, q, rows = [], [], []
         got = answers()
         if got is not None:
             yield got
 
     met = stored.unionByName(asked).repartition(partitions(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "asks").mapInArrow(meet, _FOUND)
-    best = met.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))  # k for each block visited
-    return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    best = met.groupBy("query_id", "row").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))  # k for each block visited
+    found = best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    found = written(found, "nearest")  # k rows a query
+    forget(index)
+    return found
 
 
 def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, width: int, k: int, target: float, parts: int) -> int:
@@ -273,7 +281,7 @@ def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, width: int, k:
     vec = dict(zip(q_ids.tolist(), q))
     ranks = []
     for r in true:
-        place = {leaf: i for i, leaf in enumerate(tree.best_bins(vec[r["query_id"]], tree.n_leaves))}
+        place = {leaf: i for i, leaf in enumerate(tree.best_bins(vec[r["query_id"]]))}
         ranks.extend(place[x["leaf"]] for x in r["best"])
     ranks.sort()
     return ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)] + 1 if ranks else 1

@@ -186,6 +186,22 @@ def test_neighbours_in_a_hot_leaf(spark, monkeypatch):
     assert [r.vec_id for r in got] == list(range(10)) and {r.score for r in got} == {0.0}
 
 
+def test_neighbours_of_outliers_are_complete(spark):
+    """Far vectors lie alone in their leaves; their queries go on until they have k candidates."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(1500, 4)), rng.normal(size=(30, 4)) * 40 + 300 * np.arange(30)[:, None]])
+    ids = np.concatenate([np.arange(1500) * 7 + 1, 100_000 + 100 * np.arange(30)])
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    n = neighbours.search(d, F.col("vec_id") % 100 == 0, visits=1).groupBy("query_id").count().collect()
+    assert {r["count"] for r in n} == {10} and len(n) == int((ids % 100 == 0).sum())
+
+
+def test_neighbours_of_one_id_with_two_vectors(spark):
+    d = spark.createDataFrame([(0, [0.0, 1.0]), (0, [10.0, 1.0]), (0, [10.0, 1.0]), (1, [0.0, 2.0]), (2, [10.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.search(d, F.col("vec_id") % 100 == 0, k=1).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 1, 2, 2.0)]
+
+
 def test_url_filter(spark):
     rows = [(1, "https://WWW.Example.org/es/1?x=/de/"), (2, "https://example.org/en/15"), (3, "http://notexample.org/en/15"), (4, "http://a.com/de/x"), (5, "http://a.com/DE/x"), (6, None), (7, "no scheme"), (8, "http://example.org"), (9, "http://x.spam-farm.net/q"), (9, "http://x.spam-farm.net/q"), (10, "http://org/"), (11, "http://a.com#/fr/"), (12, "ftp://b.example.org/" + "y" * 50_000)]
     p = spark.createDataFrame(rows, "page_id long, url string").withColumn("rules", F.lit(1)).withColumn("t", F.lit(""))
