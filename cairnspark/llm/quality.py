@@ -6,7 +6,7 @@
    them, however many rows, and each has a posterior.
 3. Posterior labels train a linear scorer (logistic loss, soft labels) on hashed features of texts: words, and coarse
    levels of the statistics. It is fitted on the driver on a sample of at most FIT_ROWS rows, half from each side of the
-   posterior, each of at most FIT_BYTES bytes.
+   posterior, of texts of any length: executors send a text's hashed features, at most WIDTH of them.
 4. The scorer scores all rows in one map-only scan. A row is kept if its score is at least `keep_from`.
 
 Defined cases. Null, empty or blank text: no statistics, every labeller that needs words votes bad, score 0, not kept.
@@ -16,7 +16,6 @@ Extra columns are not read. Very long texts are handled whole, in slices.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .runtime import ship, written
+from .runtime import forget, ship, written
 
 WIDTH = 1 << 14
-FIT_ROWS, FIT_BYTES = 8_000, 65_536
+FIT_ROWS = 8_000
 STATISTICS = ("n_words", "mean_word", "symbol_words", "lone_symbols", "distinct", "top_share", "letters", "caps", "digits", "sentence_ends", "repeat_next")
 ABSTAIN, BAD, GOOD = -1, 0, 1
 
@@ -168,20 +167,14 @@ def features(x: np.ndarray, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([r, np.repeat(np.arange(n_rows), len(STATISTICS))]), np.concatenate([c, own.ravel()]), np.concatenate([v, np.full(own.size, 0.5)])
 
 
-def fit_scorer(rows: list[tuple[str, float]], rounds: int = 60, step: float = 2.0) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent with one step size a column (from past gradients), for soft labels."""
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 60, step: float = 2.0) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient descent with one step size a column (from past gradients), for soft labels. rows: columns, values, label."""
     w, bias = np.zeros(WIDTH), 0.0
     if not rows:
         return w, bias
-    data, offsets = textkit.buffers(pa.array([t for t, _ in rows], pa.large_string()))
-    y = np.array([p for _, p in rows])
-    r, c, v = [], [], []
-    for i, j in textkit.slices(offsets, rows=2048):
-        a, b, d = features(*statistics(data, offsets[i : j + 1]))
-        r.append(a + i)
-        c.append(b)
-        v.append(d)
-    r, c, v = np.concatenate(r), np.concatenate(c), np.concatenate(v)
+    y = np.array([p for _, _, p in rows])
+    r = np.repeat(np.arange(len(rows)), [len(c) for c, _, _ in rows])
+    c, v = np.concatenate([c for c, _, _ in rows]).astype(np.int64), np.concatenate([v for _, v, _ in rows]).astype(float)
     past, past_b = np.full(WIDTH, 1e-6), 1e-6
     for _ in range(rounds):
         g = 1 / (1 + np.exp(-(np.bincount(r, weights=w[c] * v, minlength=len(y)) + bias))) - y
@@ -219,22 +212,35 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model | None:
     """Label model from the votes on all rows, and the scorer from a bounded sample of posterior labels."""
     seen = written(vote_patterns(docs, text_col), "votes")
-    counted = seen.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("text_size") <= FIT_BYTES).alias("short")).orderBy("pattern").collect()  # at most 3**labellers rows
+    counted = seen.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # at most 3**labellers rows
     if not counted:
         return None
-    patterns, n, short = (np.array([r[i] for r in counted]) for i in range(3))
+    patterns, n = (np.array([r[i] for r in counted]) for i in range(2))
     labels = fit_labels(patterns, n)
     p = labels.posterior(votes_of(patterns))
     spark = docs.sparkSession
-    rate = []
-    for side in (p < 0.5, p >= 0.5):
-        rate.append(min(1.0, fit_rows / 2 / max(1, int(short[side].sum()))))
+    rate = [min(1.0, fit_rows / 2 / max(1, int(n[side].sum()))) for side in (p < 0.5, p >= 0.5)]
     table = spark.createDataFrame([(int(a), float(b), int(1_000_000 * rate[int(b >= 0.5)])) for a, b in zip(patterns, p)], "pattern long, p double, most long")
-    chosen = seen.where(F.col("text_size") <= FIT_BYTES).join(F.broadcast(table), "pattern").where(F.pmod(F.col("text_hash"), F.lit(1_000_000)) < F.col("most")).select("text_hash", "text_size", "p").dropDuplicates(["text_hash", "text_size"]).orderBy(F.xxhash64("text_hash"), "text_size").limit(2 * fit_rows)
+    chosen = seen.join(F.broadcast(table), "pattern").where(F.pmod(F.col("text_hash"), F.lit(1_000_000)) < F.col("most")).select("text_hash", "text_size", "p").dropDuplicates(["text_hash", "text_size"]).orderBy(F.xxhash64("text_hash"), "text_size").limit(2 * fit_rows)
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("text_hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("text_size"), text.alias("text"))
-    rows = keyed.join(F.broadcast(chosen), ["text_hash", "text_size"]).dropDuplicates(["text_hash", "text_size"]).select("text_hash", "text", "p").collect()  # bounded by fit_rows
-    rows = sorted(((r["text"] or "", r["p"]) for r in rows), key=lambda r: (zlib.crc32(r[0].encode()), r[0]))
+    found = keyed.join(F.broadcast(chosen), ["text_hash", "text_size"]).dropDuplicates(["text_hash", "text_size"]).select("text_hash", "p", "text")
+
+    def run(batches):
+        for b in batches:
+            data, offsets = textkit.buffers(b.column(2))
+            columns, values = [], []
+            for i, j in textkit.slices(offsets):
+                r, c, v = features(*statistics(data, offsets[i : j + 1]))
+                order = np.argsort(r, kind="stable")
+                for own in np.split(order, np.searchsorted(r[order], np.arange(1, j - i))):
+                    columns.append(c[own].astype(np.int32).tobytes())
+                    values.append(v[own].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], ["text_hash", "p", "columns", "values"])
+
+    rows = found.mapInArrow(run, "text_hash long, p double, columns binary, values binary").orderBy("text_hash").collect()  # at most 2 * fit_rows, of WIDTH features at most
+    forget(seen)
+    rows = [(np.frombuffer(r["columns"], np.int32), np.frombuffer(r["values"], np.float32), r["p"]) for r in rows]
     return Model(labels, *fit_scorer(rows))
 
 
