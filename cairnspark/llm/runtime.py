@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,9 +14,11 @@ from pyspark.sql.types import AtomicType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of our own, if all runs in one process; else RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cairn-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
