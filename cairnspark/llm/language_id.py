@@ -2,8 +2,9 @@
 
 The family of a text's language is predicted first; then one-versus-one linear support vector machines separate the
 languages within that family. Features are hashed n-grams of bytes of the whole text. The machines (L2 loss) are trained
-by dual coordinate descent on the driver, on a sample bounded by PER_LANG texts a language, each of at most
-TRAIN_BYTES bytes (unless a language has none so short); everything else runs over whole texts in one map-only scan.
+by dual coordinate descent on the driver, on a sample bounded by PER_LANG texts a language, of any length: executors
+send the counts of a whole text's n-grams (WIDTH numbers) and a few short pieces of it, never the text. Everything else
+runs over whole texts in one map-only scan.
 
 Defined cases. Text null or without a letter: `und`, score 0. Null labels don't train. No labels at all, or an empty
 table: every text is `und`. Repeated rows: a row each. Ties between languages: the first in text order. A language of no
@@ -24,7 +25,7 @@ from . import textkit
 from .runtime import forget, ship, written
 
 WIDTH, SIZES = 4096, (1, 2, 3)
-PER_LANG, TRAIN_BYTES = 300, 65_536
+PER_LANG = 300
 PIECES, PIECES_EACH = (3, 8, 24), 8
 UNDETERMINED = "und"
 #: Families of common languages.
@@ -111,14 +112,22 @@ class Model:
         return out, np.clip(score, 0.0, 1.0)
 
 
-def fit(texts: list[str], langs: list[str]) -> Model | None:
-    if not texts:
+@dataclass
+class Sample:
+    """Of each text of a labelled sample: a hash, its language, n-gram counts of the whole text, and for each size in PIECES some pieces."""
+
+    keys: list[int]
+    langs: list[str]
+    counts: np.ndarray
+    pieces: list[list[list[str]]]
+
+
+def fit(sample: Sample) -> Model | None:
+    if not sample.langs:
         return None
-    col = pa.array(texts, pa.large_string())
-    data, offsets = textkit.buffers(col)
-    x = np.concatenate([textkit.byte_ngrams(data, offsets[i : j + 1], SIZES, WIDTH) for i, j in textkit.slices(offsets, rows=512)])
-    labels = np.array(langs, object)
-    family = np.array([_FAMILY_OF.get(v, v) for v in langs], object)
+    x = textkit.unit_logs(sample.counts)
+    labels = np.array(sample.langs, object)
+    family = np.array([_FAMILY_OF.get(v, v) for v in sample.langs], object)
     names = sorted(set(family))
     top = OneVersusOne(names).fit(x, family)
     return Model(top, {f: OneVersusOne(sorted(set(labels[family == f]))).fit(x[family == f], labels[family == f]) for f in names})
@@ -156,34 +165,27 @@ def _counted(texts: list[str]):
         yield textkit.byte_ngram_counts(data, offsets[i : j + 1], SIZES, WIDTH)
 
 
-def _profile(texts: list[str]) -> np.ndarray:
-    total = sum((c.sum(axis=0, dtype=float) for c in _counted(texts)), np.zeros(WIDTH))
+def _profile(counts: np.ndarray) -> np.ndarray:
+    total = counts.sum(axis=0, dtype=float)
     p = total + max(0.05 * total.sum() / WIDTH, 1e-9)
     return np.log(p / p.sum() * WIDTH).astype(np.float32)
 
 
-def typical(texts: list[str], langs: list[str]) -> Typical:
+def typical(sample: Sample) -> Typical:
     """Profiles and floors of a labelled sample. A language's floor lets a hundredth of its texts have lower pieces, as labels can be wrong."""
     profiles, floors = {}, {}
-    for v in sorted(set(langs)):
-        own = [t for t, k in zip(texts, langs) if k == v]
-        profiles[v], floors[v] = _profile(own), np.full(len(PIECES), -np.inf)
+    for v in sorted(set(sample.langs)):
+        own = [i for i, k in enumerate(sample.langs) if k == v]
+        profiles[v], floors[v] = _profile(sample.counts[own]), np.full(len(PIECES), -np.inf)
         folds = [own[0::2], own[1::2]]
-        for k, size in enumerate(PIECES) if len(own) > 1 else ():
+        for k in range(len(PIECES)) if len(own) > 1 else ():
             least = []  # of each text, its least typical piece
             for made, held in (folds, folds[::-1]):
-                profile = _profile(made)
-                cut, whose = [], []
-                for i, t in enumerate(held):
-                    b = t.encode()
-                    for at in sorted({int(a) for a in np.linspace(0, max(0, len(b) - size), PIECES_EACH)}):
-                        piece = b[at : at + size].decode(errors="ignore")
-                        if any(map(str.isalpha, piece)):
-                            cut.append(piece)
-                            whose.append(i)
+                profile = _profile(sample.counts[made])
+                cut = [(i, piece) for i, at in enumerate(held) for piece in sample.pieces[at][k]]
                 low = np.full(len(held), np.inf)
                 if cut:
-                    np.minimum.at(low, whose, np.concatenate([_likeness(c, profile) for c in _counted(cut)]))
+                    np.minimum.at(low, [i for i, _ in cut], np.concatenate([_likeness(c, profile) for c in _counted([piece for _, piece in cut])]))
                 least.append(low[np.isfinite(low)])
             least = np.sort(np.concatenate(least))
             if len(least):
@@ -192,30 +194,47 @@ def typical(texts: list[str], langs: list[str]) -> Typical:
     return Typical(profiles, floors)
 
 
-def training_sample(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
+def _pieces(text: str) -> list[list[str]]:
+    """For each size in PIECES, the pieces with a letter that begin at PIECES_EACH places spread evenly over the text."""
+    raw, out = text.encode(), []
+    for size in PIECES:
+        cut = [raw[at : at + size].decode(errors="ignore") for at in sorted({int(a) for a in np.linspace(0, max(0, len(raw) - size), PIECES_EACH)})]
+        out.append([piece for piece in cut if any(map(str.isalpha, piece))])
+    return out
+
+
+def training_sample(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> Sample:
     """About per_lang distinct texts of each language, at most as many, chosen by a hash of the text."""
+    ship(docs.sparkSession)
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     d = d.withColumn("size", F.octet_length("text")).withColumn("key", F.xxhash64("text"))
     # copies of a text count once; only keys are shuffled
     keys = written(d.select("lang", "size", "key").distinct().withColumn("h", F.pmod("key", F.lit(1_000_000))), "sample")
-    short = F.col("size") <= TRAIN_BYTES
-    counts = keys.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.min("size").alias("least")).collect()  # a row a language
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
-        return [], []
+        forget(keys)
+        return Sample([], [], np.zeros((0, WIDTH), np.float32), [])
     wanted = F.lit(False)
     for r in counts:
-        n, most = (r["short"], TRAIN_BYTES) if r["short"] else (1, r["least"])
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("size") <= most) & (F.col("h") < min(1_000_000, -(-1_300_000 * per_lang // n))))
+        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("h") < min(1_000_000, -(-1_300_000 * per_lang // r["n"]))))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "size"))
     chosen = keys.where(wanted).withColumn("nth", nth).where(F.col("nth") <= per_lang).drop("nth")
     found = d.join(F.broadcast(chosen), ["lang", "size", "key"]).groupBy("lang", "h", "key", "size").agg(F.min("text").alias("text"))
-    rows = sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["text"]))  # at most per_lang a language
+
+    def features(batches):
+        for b in batches:
+            data, offsets = textkit.buffers(b.column(3))
+            rows = [c.tobytes() for i, j in textkit.slices(offsets, rows=512) for c in textkit.byte_ngram_counts(data, offsets[i : j + 1], SIZES, WIDTH)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, pa.binary()), pa.array([_pieces(t) for t in b.column(3).to_pylist()], pa.list_(pa.list_(pa.string())))], ["lang", "h", "key", "counts", "pieces"])
+
+    rows = found.select("lang", "h", "key", "text").mapInArrow(features, "lang string, h long, key long, counts binary, pieces array<array<string>>").collect()  # at most per_lang a language
     forget(keys)
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    rows = sorted(rows, key=lambda r: (r["lang"], r["h"], r["key"]))
+    return Sample([r["key"] for r in rows], [r["lang"] for r in rows], np.array([np.frombuffer(r["counts"], np.float32) for r in rows]), [r["pieces"] for r in rows])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
-    return fit(*training_sample(docs, text_col, lang_col, per_lang))
+    return fit(training_sample(docs, text_col, lang_col, per_lang))
 
 
 _ASCII_LETTER = np.zeros(256, bool)

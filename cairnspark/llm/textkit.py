@@ -178,5 +178,10 @@ def byte_ngram_counts(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, .
 
 def byte_ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], width: int) -> np.ndarray:
     """Rows x width: log counts of hashed n-grams of bytes, each row of length 1."""
-    x = np.log1p(byte_ngram_counts(data, offsets, sizes, width))
+    return unit_logs(byte_ngram_counts(data, offsets, sizes, width))
+
+
+def unit_logs(counts: np.ndarray) -> np.ndarray:
+    """Logs of counts, each row of length 1."""
+    x = np.log1p(counts)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

@@ -203,8 +203,10 @@ def test_language_sample_holds_no_text_twice(spark):
     d = spark.range(700).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     hot = d.orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_000))).limit(1)
     d = d.unionByName(hot.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(350)))).drop("n"))
-    texts, langs = language_id.training_sample(d, "text", "lang", 50)
-    assert len(texts) == len(langs) == len(set(texts)) and 40 <= len(texts) <= 50
+    sample = language_id.training_sample(d, "text", "lang", 50)
+    assert len(sample.langs) == len(set(sample.keys)) == len(sample.counts) == len(sample.pieces) and 40 <= len(sample.langs) <= 50
+    long = spark.createDataFrame([("word " * 60_000, "en"), ("wort " * 3, "de")], "text string, lang string")
+    assert sorted(language_id.training_sample(long, "text", "lang").langs) == ["de", "en"]
 
 
 def test_pipeline_drops_texts_of_no_learned_language(spark):
@@ -392,6 +394,46 @@ def test_quality_model_on_counted_votes():
     assert (quality.votes_of(quality.pattern_of(votes)) == votes).all()
 
 
+def test_quality_votes_against_brute_force(spark):
+    """Votes and posteriors of sf0.001 by plain Python over each text's words."""
+    texts = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [t for _, t in ODD]
+
+    def votes(text):
+        raw = (text or "").translate(LOW).encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        n, size = len(w), max(1, len(raw))
+        letter = lambda b: 97 <= b <= 122 or b >= 128
+        letters, symbols = ([sum(letter(b) == want for b in x) for x in w] for want in (True, False))
+        share = lambda hits: sum(hits) / max(1, n)
+        counts = Counter(w)
+        distinct, top = len(counts) / max(1, n), max(counts.values(), default=0) / max(1, n)
+        own = (text or "").encode()
+        caps, digits, alpha = sum(65 <= b <= 90 for b in own) / size, sum(48 <= b <= 57 for b in own) / size, sum(map(letter, raw)) / size
+        odd, lone = share(s >= 2 and a > 0 for s, a in zip(symbols, letters)), share(a == 0 for a in letters)
+        again = share(x == y for x, y in zip(w, w[1:]))
+        long = n >= 20
+        pick = lambda bad, good: 0 if bad else 1 if good else -1
+        return [
+            pick(n < 1, n >= 30), pick(odd > 0.25, odd < 0.02), pick(lone > 0.12, lone < 0.02), pick(long and distinct < 0.25, long and distinct > 0.4),
+            pick(long and top > 0.3, long and top < 0.15), pick(alpha < 0.6, alpha > 0.72), pick(caps > 0.4 or digits > 0.25, caps < 0.1 and digits < 0.05), pick(again > 0.15, long and again < 0.03),
+        ]
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    m = quality.train(d)
+    got = {r.doc_id: r for r in quality.score(d, m, {"doc_id": F.col("doc_id")}).collect()}
+    for i, t in enumerate(texts):
+        v = votes(t)
+        p = [math.log(s) + sum(math.log(m.labels.rates[c][k][x + 1]) for k, x in enumerate(v)) for c, s in ((0, 1 - m.labels.share), (1, m.labels.share))]
+        assert (got[i].n_good, got[i].n_bad) == (v.count(1), v.count(0)) and got[i].weak_label == pytest.approx(1 / (1 + math.exp(max(-50, min(50, p[0] - p[1])))), rel=1e-9)
+
+
+def test_quality_scores_nothing(spark):
+    d = docs(spark)
+    m = quality.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert quality.score(d.limit(0), m, {"doc_id": F.col("doc_id")}).isEmpty()
+    assert sorted(map(str, (r.doc_id for r in quality.score(d, m, {"doc_id": F.col("doc_id")}).collect()))) == sorted(str(i) for i, _ in ODD)
+
+
 def test_quality_edges(spark):
     d = docs(spark)
     out = {r.doc_id: r for r in quality.score(d, quality.train(d), {"doc_id": F.col("doc_id")}).collect()}
