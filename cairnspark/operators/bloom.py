@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: From how many digests on a filter is used, and how often it may be wrong.
 USE_FROM, FALSE_POSITIVES = 10_000, 0.01
 
 
@@ -36,6 +39,19 @@ class Bloom:
         table = F.from_json(F.lit(str(list(self.words))), "array<bigint>")
         return F.forall(_probes(h, self.bits, self.probes), lambda b: F.call_function("bit_get", F.get(table, F.floor(b / 64).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1)
 
+    def probed(self, df: DataFrame, column: str, out: str = "held") -> DataFrame:
+        """df with a boolean column: as `contains`, but the bits go to executors as a broadcast variable, for large filters."""
+        bits = np.array(self.words, np.int64).view(np.uint64)
+        held = df.sparkSession.sparkContext.broadcast(bits)
+
+        @F.arrow_udf("boolean")
+        def hit(probes: pa.Array) -> pa.Array:
+            b = probes.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            one = (held.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)
+            return pa.array(one.reshape(len(probes), -1).all(axis=1))
+
+        return df.withColumn(out, hit(_probes(F.col(column), self.bits, self.probes)))
+
     def to_bytes(self) -> bytes:
         raw = b"".join((w & (1 << 64) - 1).to_bytes(8, "little") for w in self.words)
         return self.bits.to_bytes(4, "little") + bytes([self.probes]) + raw[: -(-self.bits // 8)]
@@ -49,6 +65,22 @@ class Bloom:
         return cls(bits, k, tuple(int.from_bytes(body[i : i + 8], "little", signed=True) for i in range(0, len(body), 8)))
 
 
+def have_filter(have: DataFrame, column: str) -> "Bloom | None":
+    """A filter over what a side has, if that is more than USE_FROM digests, which are counted; else None: the digests themselves are sent."""
+    n = have.select(column).distinct().count()
+    return build(have, column, n) if n > USE_FROM else None
+
+
+def negotiated(offered: DataFrame, have: DataFrame, column: str = "hash") -> DataFrame:
+    """What is offered and not had. A filter, where one is used, only spares the exact comparison of digests that it tells are new."""
+    f = have_filter(have, column)
+    if f is None:
+        return offered.join(have.select(column).distinct(), column, "left_anti")
+    asked = f.probed(offered, column, "_maybe")
+    maybe = asked.where("_maybe").drop("_maybe").join(have.select(column).distinct(), column, "left_anti")
+    return asked.where("NOT _maybe").drop("_maybe").unionByName(maybe)
+
+
 def build(df: DataFrame, column: str, n: int, p: float = FALSE_POSITIVES) -> Bloom:
     """A filter over a column of digests; its size, not the rows, comes to the driver."""
     bits = optimal_bits(n, p)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from cairnspark.functions.digest import digest
 
@@ -95,11 +96,11 @@ def existing_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
 
 def with_first_seen(chunks: DataFrame, store: DataFrame | None, order: list[str]) -> DataFrame:
     """Adds is_new: the first row of its digest in upload order, and not in the store."""
-    first = F.row_number().over(Window.partitionBy("hash").orderBy(*order)) == 1
-    if store is None:
-        return chunks.withColumn("is_new", first)
-    held = store.select("hash").distinct().withColumn("_held", F.lit(True))
-    return chunks.join(held, "hash", "left").withColumn("is_new", first & F.col("_held").isNull()).drop("_held")
+    # the least row of each digest is found with partial sums, so that a chunk of which there are very many is no hot key
+    least = chunks.groupBy("hash").agg(F.min(F.struct(*order)).alias("_least"))
+    if store is not None:
+        least = least.join(store.select("hash"), "hash", "left_anti")
+    return chunks.join(least, "hash", "left").withColumn("is_new", F.coalesce(F.struct(*order) == F.col("_least"), F.lit(False))).drop("_least")
 
 
 def dedup_stats(chunks: DataFrame, store: DataFrame | None, order: list[str], by: list[str] = ()) -> DataFrame:
@@ -119,11 +120,15 @@ def object_info(wanted: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def reassembled(descriptors: DataFrame, store: DataFrame, by: list[str]) -> DataFrame:
-    """by, content, missing (chunks that the store doesn't hold): chunks in order, joined."""
+    """by, content, missing (chunks that the store doesn't hold): chunks in order, joined; strings or bytes as the store has them."""
     data = store.select("hash", "data").dropDuplicates(["hash"])
     got = descriptors.select(*by, "ord", "hash").join(data, "hash", "left").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "data"))).alias("x"))
     parts = F.transform("x", lambda c: c["data"])
-    return got.select(*by, F.array_join(parts, "").alias("content"), F.size(F.filter(parts, lambda d: d.isNull())).alias("missing"))
+    if isinstance(store.schema["data"].dataType, BinaryType):  # bytes are joined as characters of one byte each
+        content = F.encode(F.array_join(F.transform(parts, lambda d: F.decode(d, "ISO-8859-1")), ""), "ISO-8859-1")
+    else:
+        content = F.array_join(parts, "")
+    return got.select(*by, content.alias("content"), F.size(F.filter(parts, lambda d: d.isNull())).alias("missing"))
 
 
 def shard_of(h: Column, shards: int) -> Column:

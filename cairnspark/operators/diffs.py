@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.functions.digest import digest, parse_hash
+
 
 def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
     o = old.select("path", F.col("hash").alias("old_hash"))
@@ -42,17 +44,24 @@ def chunk_stats(old: DataFrame, new: DataFrame, old_chunks: DataFrame, new_chunk
     return all_three.select(pick(F.col("a") + F.col("w_added")).alias("added_chunks"), pick(F.col("r") + F.col("w_removed")).alias("removed_chunks"), pick(F.col("u") + F.col("w_same")).alias("unchanged_chunks"))
 
 
+def with_cached_hashes(local: DataFrame, cache: DataFrame) -> DataFrame:
+    """local with every null hash filled in: from the cache where (path, mtime, size) are equal and its hash is one, else from the content."""
+    known = cache.select("path", "mtime", "size", parse_hash(F.col("hash")).alias("_cached"))
+    fresh = digest(F.col("content")) if "content" in local.columns else F.raise_error(F.concat(F.lit("neither a cached hash nor content: "), F.col("path"))).cast("string")
+    return local.join(known, ["path", "mtime", "size"], "left").withColumn("hash", F.coalesce("hash", "_cached", fresh)).drop("_cached")
+
+
 def working_tree_status(head: DataFrame, local: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """path, change (untracked, modified, deleted), local_size, head_size; unchanged files don't show.
 
-    local: path, hash, size, and with a cache mtime; a cached hash of equal (path, mtime, size) stands in for a null hash.
+    local: path, hash, size, and with a cache mtime and content; for a null hash a cached one of equal (path, mtime, size)
+    stands in, and on a miss the content is hashed.
     """
     if cache is not None:
-        known = cache.select("path", "mtime", "size", F.col("hash").alias("_cached"))
-        local = local.join(known, ["path", "mtime", "size"], "left").withColumn("hash", F.coalesce("hash", "_cached"))
+        local = with_cached_hashes(local, cache)
     h = head.select("path", F.col("hash").alias("hh"), F.col("size").alias("head_size"))
-    w = local.select("path", F.col("hash").alias("lh"), F.col("size").alias("local_size"))
-    change = F.when(F.col("hh").isNull(), "untracked").when(F.col("lh").isNull(), "deleted").when(F.col("hh") != F.col("lh"), "modified")
+    w = local.select("path", F.col("hash").alias("lh"), F.col("size").alias("local_size"), F.lit(True).alias("_there"))
+    change = F.when(F.col("hh").isNull(), "untracked").when(F.col("_there").isNull(), "deleted").when(~F.col("hh").eqNullSafe(F.col("lh")), "modified")
     return h.join(w, "path", "full_outer").select("path", change.alias("change"), "local_size", "head_size").where("change IS NOT NULL")
 
 
@@ -66,5 +75,10 @@ def checkout_plan(target: DataFrame, local: DataFrame, force: bool) -> DataFrame
 
 def partial_commit(head: DataFrame, staged: DataFrame, local: DataFrame) -> DataFrame:
     """The new tree (path, hash, size): head without staged paths, and staged paths as they are on disk; staged but missing is a deletion."""
+    if staged.isEmpty():
+        raise ValueError("nothing is staged")
     carried = head.select("path", "hash", "size").join(staged.select("path"), "path", "left_anti")
-    return carried.unionByName(local.select("path", "hash", "size").join(staged.select("path").distinct(), "path", "left_semi"))
+    out = carried.unionByName(local.select("path", "hash", "size").join(staged.select("path").distinct(), "path", "left_semi"))
+    if out.isEmpty():
+        raise ValueError("the new tree would be empty")
+    return out

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: What is ignored everywhere.
-DEFAULTS = (".git", "node_modules", "target", "__pycache__", ".venv", "dist", "build", ".idea", ".vscode", ".DS_Store")
+#: The name of files with patterns; each rules the folder it lies in.
+IGNORE_FILE = ".cairnignore"
+#: What is ignored everywhere, before the patterns of the root.
+DEFAULTS = (".git/", ".svn/", ".hg/", ".DS_Store", "Thumbs.db", "node_modules/", "target/", "*.tmp", "*.swp", IGNORE_FILE)
 
 
 def to_regex(pattern: str, scope: str = "") -> str | None:
@@ -53,12 +55,24 @@ class Matcher:
 
     @classmethod
     def of(cls, patterns: dict[str, list[str]], defaults: bool = True) -> "Matcher":
-        scopes = [[(to_regex(p), True) for p in DEFAULTS]] if defaults else []
-        for scope, lines in patterns.items():
+        scopes = []
+        for scope, lines in ({"": []} | patterns).items():
+            lines = [*(DEFAULTS if defaults and not scope.strip("/") else ()), *lines]
             rules = [(to_regex(p.strip().removeprefix("!"), scope), not p.strip().startswith("!")) for p in lines]
             scopes.append([r for r in rules if r[0]])
         return cls(tuple(tuple(s) for s in scopes if s))
 
+    @classmethod
+    def from_tree(cls, spark: SparkSession, folder: str, name: str = IGNORE_FILE, defaults: bool = True) -> "Matcher":
+        """The patterns of all files called `name` under a folder."""
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+        base = folder.removeprefix("file://").rstrip("/")
+        patterns = {}
+        for r in found.select("path", "content").orderBy("path").collect():  # small files, a few
+            inside = re.sub("^file:/*", "/", r["path"]).removeprefix(base).strip("/")
+            patterns[inside.removesuffix(name).rstrip("/")] = r["content"].decode(errors="replace").splitlines()
+        return cls.of(patterns, defaults)
+
     def matches(self, path: Column) -> Column:
         out = F.lit(False)
         for rules in self.scopes:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.digest import digest
 from cairnspark.operators.chunking import shard_of
 
+#: 64 MiB an object, 4 GiB a session.
+OBJECT_BYTES, SESSION_BYTES = 64 << 20, 4 << 30
 #: Objects go in this order, so that what refers to others comes after nothing it needs is missing.
 TYPE_RANK = {"version": 0, "tree": 1, "node": 2, "chunk": 3}
 
@@ -58,12 +60,24 @@ def read_pack(spark, path: str, checksum: str | None = None) -> DataFrame:
     return objects
 
 
+def inventory(objects: DataFrame) -> DataFrame:
+    """obj_type, n, least, greatest: what a side has of each type."""
+    return objects.select("obj_type", "hash").distinct().groupBy("obj_type").agg(F.count("*").alias("n"), F.min("hash").alias("least"), F.max("hash").alias("greatest"))
+
+
+def over_quota(objects: DataFrame, session_limit: int = SESSION_BYTES, object_limit: int = OBJECT_BYTES) -> DataFrame:
+    """One row: what a pack has over its quotas: bytes, too_large (objects over object_limit), refused (either quota is broken)."""
+    size = F.octet_length("data").cast("long")
+    got = objects.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count_if(size > object_limit).alias("too_large"))
+    return got.withColumn("refused", (F.col("too_large") > 0) | (F.col("bytes") > session_limit))
+
+
 def ingest_counts(received: DataFrame, held: DataFrame) -> DataFrame:
     """One row: received, stored, duplicates."""
-    one = received.select("obj_type", "hash").withColumn("_r", F.row_number().over(Window.partitionBy("obj_type", "hash").orderBy(F.lit(0))))
+    one = received.groupBy("obj_type", "hash").agg(F.count("*").alias("n"))
     known = held.select("obj_type", "hash").distinct().withColumn("_h", F.lit(True))
-    stored = (F.col("_r") == 1) & F.col("_h").isNull()
-    return one.join(known, ["obj_type", "hash"], "left").agg(F.count("*").alias("received"), F.count_if(stored).alias("stored"), F.count_if(~stored).alias("duplicates"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return one.join(known, ["obj_type", "hash"], "left").agg(total.alias("received"), F.count_if(F.col("_h").isNull()).alias("stored"), (total - F.count_if(F.col("_h").isNull())).alias("duplicates"))
 
 
 def finalize(updates: DataFrame, refs: DataFrame) -> DataFrame:
@@ -88,3 +102,8 @@ def resumable(sessions: DataFrame, now: int, ttl: int) -> DataFrame:
 def expired(sessions: DataFrame, now: int, ttl: int) -> DataFrame:
     """Running sessions of ttl or older, marked as failed."""
     return sessions.where((F.col("status") == "running") & (F.lit(now) - F.col("started_at") >= ttl)).withColumn("status", F.lit("failed"))
+
+
+def transfer_totals(sessions: DataFrame) -> DataFrame:
+    """remote, direction, sessions, completed, failed."""
+    return sessions.groupBy("remote", "direction").agg(F.count("*").alias("sessions"), *[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed")])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRACE_SECONDS, RETENTION_DAYS, DAY = 24 * 3600, 30, 86_400
+#: What an object is taken to hold in reports of collections.
+OBJECT_ESTIMATE = 65_536
 #: Roles, the highest last, and what each may do.
 ROLES = {"viewer": ("read",), "member": ("read", "write"), "admin": ("read", "write", "delete"), "owner": ("read", "write", "delete", "admin")}
 PERMISSIONS = ("read", "write", "delete", "admin")
@@ -83,3 +85,47 @@ def allowed(asked: DataFrame) -> DataFrame:
     """asked (role, permission) with allowed."""
     granted = asked.sparkSession.createDataFrame([(r, p) for r, ps in ROLES.items() for p in ps], "role string, permission string").withColumn("allowed", F.lit(True))
     return asked.join(F.broadcast(granted), ["role", "permission"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))  # 10 rows
+
+
+def gc_metrics(runs: DataFrame) -> DataFrame:
+    """kind, runs, objects, bytes (an estimate: OBJECT_ESTIMATE each), and how many runs took at most 1, 10, 60 seconds and longer. runs: kind, deleted, seconds."""
+    s = F.col("seconds")
+    return runs.groupBy("kind").agg(
+        F.count("*").alias("runs"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("objects"), (F.coalesce(F.sum("deleted"), F.lit(0)) * OBJECT_ESTIMATE).alias("bytes"),
+        F.count_if(s <= 1).alias("upto_1s"), F.count_if((s > 1) & (s <= 10)).alias("upto_10s"), F.count_if((s > 10) & (s <= 60)).alias("upto_60s"), F.count_if(s > 60).alias("longer"),
+    )
+
+
+def drained(queue: DataFrame, taken: DataFrame) -> DataFrame:
+    """A queue (hash, ...) without the digests that were taken."""
+    return queue.join(taken.select("hash"), "hash", "left_anti")
+
+
+def listed(workspaces: DataFrame, deleted: bool) -> DataFrame:
+    """Active workspaces by id, or deleted ones, the last deleted first."""
+    rows = workspaces.where(F.col("deleted_at").isNotNull() if deleted else F.col("deleted_at").isNull())
+    return rows.orderBy(F.desc("deleted_at"), "id") if deleted else rows.orderBy("id")
+
+
+def soft_deleted(workspaces: DataFrame, chosen: Column, now: int, days: int | None = None) -> DataFrame:
+    """Workspaces with those chosen marked as deleted now, with `days` of retention in their metadata; what is deleted already stays as it is."""
+    hit = chosen & F.col("deleted_at").isNull()
+    meta = F.col("metadata") if days is None else F.lit(f'{{"recycle_retention_days": {int(days)}}}')
+    return workspaces.withColumn("metadata", F.when(hit, meta).otherwise(F.col("metadata"))).withColumn("deleted_at", F.when(hit, F.lit(now)).otherwise(F.col("deleted_at")).cast("long"))
+
+
+def restored(workspaces: DataFrame, chosen: Column) -> DataFrame:
+    """Workspaces with those chosen no longer deleted."""
+    return workspaces.withColumn("deleted_at", F.when(~F.coalesce(chosen, F.lit(False)), F.col("deleted_at")))
+
+
+def upserted(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `new` put in: a row of the same keys is replaced."""
+    return rows.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*rows.columns))
+
+
+def members(memberships: DataFrame, users: DataFrame) -> DataFrame:
+    """org, user, email, role (the highest): who belongs to each organisation."""
+    top = memberships.groupBy("org", "user").agg(F.max(role_level(F.col("role"))).alias("_l"))
+    names = F.array(*[F.lit(r) for r in ROLES])
+    return top.join(users, "user").select("org", "user", "email", F.get(names, F.col("_l")).alias("role"))

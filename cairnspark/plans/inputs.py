@@ -9,6 +9,8 @@ from cairnspark.functions.digest import digest
 
 #: A clock for queries, so that none reads the time: 2024-01-01 00:00 UTC.
 NOW = 1_704_067_200
+#: A clock after all events of the driver's tables: 2030-01-01 00:00 UTC.
+AFTER = 1_893_456_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

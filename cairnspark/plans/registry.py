@@ -224,11 +224,15 @@ def status_untracked_modified_deleted(spark, d):
     return diffs.working_tree_status(_a(spark, d), _b(spark, d))
 
 
+# of the local files, a third are in the cache, a third lie there under another time and a wrong hash, and a third are not there
 @_query("status_with_cache", f"WITH {_AB} SELECT coalesce(a.path, b.path) path, CASE WHEN a.path IS NULL THEN 'untracked' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END change, b.size local_size, a.size head_size FROM va a FULL JOIN vb b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash")
 def status_with_cache(spark, d):
-    local = _b(spark, d).withColumn("mtime", F.crc32("path"))
-    cache = local.select("path", "mtime", "size", "hash")
-    return diffs.working_tree_status(_a(spark, d), local.withColumn("hash", F.lit(None).cast("string")), cache)
+    b = i.version(spark, d, "b").withColumn("mtime", F.crc32("path"))
+    third = F.col("mtime") % 3
+    cache = i.hashed(b).withColumn("mtime", F.crc32("path")).where(third < 2)
+    cache = cache.withColumn("hash", F.when(third == 1, dg.digest(F.col("path"))).otherwise(F.col("hash"))).withColumn("mtime", F.col("mtime") + (third == 1).cast("long"))
+    local = b.select("path", F.lit(None).cast("string").alias("hash"), F.octet_length("content").cast("long").alias("size"), "mtime", "content")
+    return diffs.working_tree_status(_a(spark, d), local, cache)
 
 
 for _force in (False, True):
@@ -287,12 +291,7 @@ def ahead_behind(spark, d):
     v = i.versions(spark, d)
     pairs = v.groupBy(F.col("branch").alias("ref")).agg(F.max_by("version_id", "seq").alias("local"), F.max_by("p1", "seq").alias("_p"), F.min_by("version_id", "seq").alias("_f"))
     pairs = pairs.select("ref", "local", F.when(F.col("ref") % 2 == 0, F.col("_p")).otherwise(F.col("_f")).alias("remote"))
-    e = i.edges(v)
-    theirs = pairs.where("remote IS NOT NULL")
-    # a ref that the other side lacks is ahead by all of its versions
-    mine = history.ancestors(e, pairs.select(F.col("ref").alias("start"), F.col("local").alias("version_id"))).select("start", "version_id", F.lit(1).alias("m"))
-    other = history.ancestors(e, theirs.select(F.col("ref").alias("start"), F.col("remote").alias("version_id"))).select("start", "version_id", F.lit(1).alias("t"))
-    return mine.join(other, ["start", "version_id"], "full_outer").groupBy(F.col("start").alias("ref")).agg(F.count_if(F.col("t").isNull()).alias("ahead"), F.count_if(F.col("m").isNull()).alias("behind"))
+    return history.ahead_behind(i.edges(v), pairs)
 
 
 @_query("shallow_versions", f"WITH RECURSIVE {_DIST} SELECT start, version_id, dist FROM near WHERE dist < 3")
@@ -365,9 +364,9 @@ def sessions_resumable(spark, d):
     return sync.resumable(i.sessions(spark, d), i.NOW, 3_000_000)
 
 
-@_query("sessions_stale", f"WITH {_SESS} SELECT session_id, remote, direction, 'failed' status, started_at FROM s WHERE status = 'running' AND {i.NOW} - started_at >= 86400")
+@_query("sessions_stale", f"WITH {_SESS} SELECT session_id, remote, direction, 'failed' status, started_at FROM s WHERE status = 'running' AND {i.AFTER} - started_at >= 86400")
 def sessions_stale(spark, d):
-    return sync.expired(i.sessions(spark, d), i.NOW, 86_400)
+    return sync.expired(i.sessions(spark, d), i.AFTER, 86_400)
 
 
 # --- upkeep ---
@@ -462,7 +461,7 @@ def effective_role(spark, d):
     return upkeep.effective_role(i.table(spark, d, "orders").select("o_custkey", _role(F.col("o_orderkey")).alias("role")), "o_custkey")
 
 
-# --- no SQL: content-defined cutting, patterns, Bloom filters ---
+# --- content-defined cutting (no SQL), patterns, Bloom filters ---
 @_query("cdc_chunks", None)
 def cdc_chunks(spark, d):
     return chunking.cdc_chunks(i.files(spark, d), chunking.Policy(256, 1024, 4096)).drop("data")
@@ -475,9 +474,152 @@ def ignore_filter(spark, d):
     return p.withColumn("ignored", rules.matches(F.col("path")))
 
 
-@_query("bloom_negotiate", None)
+@_query("bloom_negotiate", f"""WITH {_V}, h AS (SELECT sha256(CAST(version_id AS VARCHAR)) hash, version_id % 2 = 0 have FROM v), n AS (SELECT greatest(1, count(*) FILTER (have)) n FROM h),
+m AS (SELECT n, greatest(64, CAST(ceil(-n * ln(0.01) / pow(ln(2), 2)) AS BIGINT)) m FROM n), k AS (SELECT m, least(30, greatest(1, CAST(round(m / n * ln(2)) AS BIGINT))) k FROM m),
+pr AS (SELECT hash, have, (CAST(concat('0x', substring(hash, 1, 15)) AS BIGINT) % m + i * (CAST(concat('0x', substring(hash, 17, 15)) AS BIGINT) % m)) % m b FROM h, k, unnest(range(k)) t(i)),
+s AS (SELECT DISTINCT b FROM pr WHERE have)
+SELECT hash, bool_and(s.b IS NOT NULL) held FROM pr LEFT JOIN s ON s.b = pr.b GROUP BY hash""")
 def bloom_negotiate(spark, d):
     have = i.versions(spark, d).where("version_id % 2 = 0").select(dg.digest(F.col("version_id").cast("string")).alias("hash"))
     offered = i.versions(spark, d).select(dg.digest(F.col("version_id").cast("string")).alias("hash"))
     f = bloom.build(have, "hash", have.count())
-    return offered.withColumn("held", f.contains(F.col("hash")))
+    return f.probed(offered, "hash")
+
+
+@_query("bloom_then_exact", f"WITH {_V} SELECT sha256(CAST(version_id AS VARCHAR)) hash FROM v WHERE version_id % 2 <> 0")
+def bloom_then_exact(spark, d):
+    offered = i.versions(spark, d).select("version_id", dg.digest(F.col("version_id").cast("string")).alias("hash"))
+    return bloom.negotiated(offered, offered.where("version_id % 2 = 0")).select("hash")
+
+
+# --- content-defined chunks: whatever the cuts, the chunks in order are the file ---
+@_query("cdc_roundtrip", f"WITH {_FILES} SELECT path, sha256(content) hash, CAST(strlen(content) AS BIGINT) size, CAST(0 AS INTEGER) missing FROM f")
+def cdc_roundtrip(spark, d):
+    c = chunking.cdc_chunks(i.files(spark, d), chunking.Policy(256, 1024, 4096))
+    return chunking.reassembled(c, c, ["path"]).select("path", dg.digest(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("size"), "missing")
+
+
+@_query("cdc_sizes", f"WITH {_FILES} SELECT path, CAST(strlen(content) AS BIGINT) bytes, true in_bounds FROM f")
+def cdc_sizes(spark, d):
+    p = chunking.Policy(256, 1024, 4096)
+    c = chunking.cdc_chunks(i.files(spark, d), p).groupBy("path").agg(F.sum("len").cast("long").alias("bytes"), F.max("len").alias("most"), F.count("*").alias("n"), F.count_if(F.col("len") < p.least).alias("short"))
+    return c.select("path", "bytes", ((F.col("most") <= p.most) & (F.col("short") <= 1)).alias("in_bounds"))
+
+
+@_query("ignore_defaults", r"""WITH p AS (SELECT page_id, ['.git/x', 'a/.svn/y', '.hg/z', 'b/.DS_Store', 'Thumbs.db', 'node_modules/m/i.js', 'c/target/o', 'n.tmp', 'd/e.swp', 'build/o', 'dist/o', 'src/git', 'keep.tmp', 'src/a.gen.ts', 'a.gen.ts'][page_id % 15 + 1] path FROM pages)
+SELECT page_id, path, NOT path IN ('build/o', 'dist/o', 'src/git', 'keep.tmp', 'a.gen.ts') ignored FROM p""")
+def ignore_defaults(spark, d):
+    paths = [".git/x", "a/.svn/y", ".hg/z", "b/.DS_Store", "Thumbs.db", "node_modules/m/i.js", "c/target/o", "n.tmp", "d/e.swp", "build/o", "dist/o", "src/git", "keep.tmp", "src/a.gen.ts", "a.gen.ts"]
+    p = i.table(spark, d, "pages").select("page_id", F.element_at(F.array(*[F.lit(x) for x in paths]), (F.col("page_id") % 15 + 1).cast("int")).alias("path"))
+    return p.withColumn("ignored", ignore.Matcher.of({"": ["!keep.tmp"], "src": ["*.gen.ts"]}).matches(F.col("path")))
+
+
+# --- the node table ---
+_NODES = _TREE + """,
+kids AS (SELECT CASE WHEN instr(path, '/') = 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END path, string_agg(regexp_extract(path, '[^/]*$') || '=' || node_hash, ',' ORDER BY regexp_extract(path, '[^/]*$')) children FROM idx WHERE path <> '' GROUP BY 1),
+nodes AS (SELECT DISTINCT node_hash hash, CASE WHEN is_directory THEN 'directory' ELSE 'file' END kind, size, coalesce(children, '') children FROM idx LEFT JOIN kids ON kids.path = idx.path)"""
+
+
+@_query("node_table", f"WITH {_NODES} SELECT hash, kind, CAST(size AS BIGINT) size, children FROM nodes")
+def node_table(spark, d):
+    nodes = trees.node_entries(_index(spark, d))
+    return nodes.withColumn("children", F.array_join(F.transform("children", lambda c: F.concat(c["name"], F.lit("="), c["hash"])), ","))
+
+
+@_query("rebuilt_path_index", f"WITH {_TREE} SELECT path, node_hash, is_directory, CAST(size AS BIGINT) size, CAST(n_children AS INTEGER) n_children, false missing FROM idx")
+def rebuilt_path_index(spark, d):
+    index = _index(spark, d)
+    return trees.walked(index.where("path = ''").select(F.col("node_hash").alias("root")), trees.node_entries(index))
+
+
+@_query("reachable_nodes_of_a_root", f"WITH {_TREE} SELECT DISTINCT node_hash, node_hash = (SELECT min(node_hash) FROM idx WHERE NOT is_directory) missing FROM idx")
+def reachable_nodes_of_a_root(spark, d):
+    index = _index(spark, d)
+    gone = index.where("NOT is_directory").agg(F.min("node_hash").alias("hash"))
+    nodes = trees.node_entries(index).join(gone, "hash", "left_anti")
+    return trees.walked(index.where("path = ''").select(F.col("node_hash").alias("root")), nodes).select("node_hash", "missing").distinct()
+
+
+@_query("upsert_path_entries", f"WITH {_TREE} SELECT path, CASE WHEN path LIKE 'en/%' AND NOT is_directory THEN sha256(path) ELSE node_hash END node_hash, is_directory, CAST(CASE WHEN path LIKE 'en/%' AND NOT is_directory THEN 1 ELSE size END AS BIGINT) size, CAST(n_children AS INTEGER) n_children FROM idx UNION ALL SELECT 'new', sha256('new'), false, 1, 0")
+def upsert_path_entries(spark, d):
+    index = _index(spark, d)
+    paths = index.where("path LIKE 'en/%' AND NOT is_directory").select("path").unionAll(spark.createDataFrame([("new",)], "path string"))
+    return trees.upserted(index, paths.select("path", dg.digest(F.col("path")).alias("node_hash"), F.lit(False).alias("is_directory"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("n_children")))
+
+
+# --- projections ---
+@_query("version_dtos", f"WITH {_V} SELECT CAST(version_id AS VARCHAR) id, array_to_string(list_filter([CAST(p0 AS VARCHAR), CAST(p1 AS VARCHAR)], lambda q: q IS NOT NULL), ',') parents, CAST(seq * 86400 AS BIGINT) AS ts FROM v")
+def version_dtos(spark, d):
+    v = i.versions(spark, d)
+    rows = v.select(F.col("version_id").cast("string").alias("version_id"), (F.col("seq") * 86400).cast("long").alias("ts"), F.lit("").alias("root"), F.lit("").alias("message"))
+    return history.version_dtos(rows, i.edges(v)).select("id", F.array_join("parents", ",").alias("parents"), "ts")
+
+
+@_query("ref_dtos", f"WITH {_REFS} SELECT name, lower(upper(kind)) kind, CAST(target AS VARCHAR) target FROM refs")
+def ref_dtos(spark, d):
+    return history.ref_dtos(i.refs(spark, d).withColumn("kind", F.upper("kind")))
+
+
+@_query("parsed_parents", "SELECT doc_id, array_to_string(list_transform(list_filter(string_split(x, ','), lambda p: p <> ''), lambda p: trim(p)), '|') parents FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a, b' WHEN 2 THEN ',a,,' || source || ' ' ELSE source END x FROM documents)")
+def parsed_parents(spark, d):
+    docs = i.table(spark, d, "documents")
+    k = F.col("doc_id") % 4
+    x = F.when(k == 0, "").when(k == 1, "a, b").when(k == 2, F.concat(F.lit(",a,,"), F.col("source"), F.lit(" "))).otherwise(F.col("source"))
+    return docs.select("doc_id", F.array_join(history.parsed_parents(x), "|").alias("parents"))
+
+
+@_query("absolute_paths", f"WITH {_FILES} SELECT path, '/work/tree/' || path AS absolute FROM f")
+def absolute_paths(spark, d):
+    return i.files(spark, d).select("path", trees.absolute("/work/tree/", F.col("path")).alias("absolute"))
+
+
+# --- inventories, quotas, sessions ---
+@_query("inventory_by_type", f"WITH {_V}, {_HOLD}, o AS (SELECT 'version' obj_type, sha256(CAST(version_id AS VARCHAR)) hash FROM v UNION SELECT 'chunk', hash FROM hold) SELECT obj_type, count(*) n, min(hash) least, max(hash) greatest FROM o GROUP BY obj_type")
+def inventory_by_type(spark, d):
+    v = i.versions(spark, d).select(F.lit("version").alias("obj_type"), dg.digest(F.col("version_id").cast("string")).alias("hash"))
+    return sync.inventory(v.unionAll(i.holdings(spark, d).select(F.lit("chunk").alias("obj_type"), "hash")))
+
+
+@_query("pack_quota", "SELECT CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) bytes, count(*) FILTER (strlen(text) > 4096) too_large, count(*) FILTER (strlen(text) > 4096) > 0 OR sum(strlen(coalesce(text, ''))) > 1000000 refused FROM documents")
+def pack_quota(spark, d):
+    return sync.over_quota(i.table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("data")), 1_000_000, 4_096)
+
+
+@_query("transfer_totals", f"WITH {_SESS} SELECT remote, direction, count(*) sessions, count(*) FILTER (status = 'completed') completed, count(*) FILTER (status = 'failed') failed FROM s GROUP BY remote, direction")
+def transfer_totals(spark, d):
+    return sync.transfer_totals(i.sessions(spark, d))
+
+
+# --- collections, workspaces, members ---
+@_query("gc_metrics", "SELECT event_type kind, count(*) runs, CAST(sum(event_id % 50) AS BIGINT) objects, CAST(sum(event_id % 50) * 65536 AS BIGINT) bytes, count(*) FILTER (value <= 1) upto_1s, count(*) FILTER (value > 1 AND value <= 10) upto_10s, count(*) FILTER (value > 10 AND value <= 60) upto_60s, count(*) FILTER (value > 60) longer FROM events GROUP BY event_type")
+def gc_metrics(spark, d):
+    return upkeep.gc_metrics(i.table(spark, d, "events").select(F.col("event_type").alias("kind"), (F.col("event_id") % 50).alias("deleted"), F.col("value").alias("seconds")))
+
+
+@_query("garbage_drained", f"WITH RECURSIVE {_GC} SELECT hash, queued_at FROM g WHERE hash NOT IN (SELECT hash FROM sw WHERE outcome <> 'waiting')")
+def garbage_drained(spark, d):
+    garbage = i.table(spark, d, "part").select(dg.digest(F.col("p_partkey").cast("string")).alias("hash"), (F.lit(i.NOW) - F.col("p_size") * 3600).cast("long").alias("queued_at"))
+    return upkeep.drained(garbage, _swept(spark, d).where("outcome <> 'waiting'"))
+
+
+@_query("workspaces_deleted", f"WITH {_WS} SELECT * FROM ws WHERE deleted_at IS NOT NULL")
+def workspaces_deleted(spark, d):
+    return upkeep.listed(i.workspaces(spark, d), True)
+
+
+@_query("recycle_soft_delete_restore", f"WITH {_WS} SELECT id, CAST(CASE WHEN id % 6 = 0 THEN NULL WHEN deleted_at IS NULL AND id % 8 = 0 THEN {i.NOW} ELSE deleted_at END AS BIGINT) deleted_at, CASE WHEN deleted_at IS NULL AND id % 8 = 0 THEN '{{\"recycle_retention_days\": 3}}' ELSE metadata END metadata FROM ws")
+def recycle_soft_delete_restore(spark, d):
+    gone = upkeep.soft_deleted(i.workspaces(spark, d), F.col("id") % 8 == 0, i.NOW, 3)
+    return upkeep.restored(gone, F.col("id") % 6 == 0)
+
+
+@_query("members_of_organisations", f"WITH m AS (SELECT o_custkey % 25 org, o_custkey AS user, max(CASE {_ROLE.format('o_orderkey')} WHEN 'owner' THEN 3 WHEN 'admin' THEN 2 WHEN 'member' THEN 1 ELSE 0 END) l FROM orders GROUP BY 1, 2) SELECT org, m.user, c_name email, CASE l WHEN 3 THEN 'owner' WHEN 2 THEN 'admin' WHEN 1 THEN 'member' ELSE 'viewer' END role FROM m JOIN customer ON c_custkey = m.user")
+def members_of_organisations(spark, d):
+    m = i.table(spark, d, "orders").select((F.col("o_custkey") % 25).alias("org"), F.col("o_custkey").alias("user"), _role(F.col("o_orderkey")).alias("role"))
+    return upkeep.members(m, i.table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_name").alias("email")))
+
+
+@_query("memberships_upserted", f"SELECT c_custkey AS user, c_nationkey org, CASE WHEN c_custkey % 3 = 0 THEN 'admin' ELSE {_ROLE.format('c_custkey')} END role FROM customer")
+def memberships_upserted(spark, d):
+    m = i.table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("org"), _role(F.col("c_custkey")).alias("role"))
+    return upkeep.upserted(m, m.where("user % 3 = 0").withColumn("role", F.lit("admin")), ["user", "org"])

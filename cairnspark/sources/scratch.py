@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:  # as in tests; a cluster names one
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cairn-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -20,4 +23,13 @@ def kept(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/cairn/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by `kept` that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._cairn_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
