@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from cairnspark.functions.digest import digest
+from cairnspark.sources.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,8 @@ def cdc_chunks(files: DataFrame, policy: Policy = Policy(), key: str = "path", c
     """key, ord, off, len (bytes), hash, data of content-defined chunks; an empty file is one empty chunk. Cut points come from an Arrow scan, the rest from Catalyst."""
     import pyarrow as pa
 
+    ship(files.sparkSession)
+
     def run(batches):
         for b in batches:
             ends = [cut_points(x.as_py() or b"", policy) or [0] for x in b.column(1)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairnspark.sources.scratch import kept
+from cairnspark.sources.shipping import ship
 
 BROADCAST_EDGES = 200_000
 
@@ -50,6 +51,7 @@ def first_parent_history(edges: DataFrame, tips: DataFrame, limit: int) -> DataF
     level = tips.select("branch", "version_id", F.lit(0).alias("depth"))
     parents = _parents(first)
     if parents is not None:
+        ship(tips.sparkSession)
         held, schema = tips.sparkSession.sparkContext.broadcast(parents), to_arrow_schema(level.schema)
 
         def walked(batches):
@@ -114,6 +116,7 @@ def ancestors(edges: DataFrame, starts: DataFrame, depth: int | None = None, cut
 
 
 def _searched(parents: dict, starts: DataFrame, depth: int | None, cut: DataFrame | None) -> DataFrame:
+    ship(starts.sparkSession)
     tips = starts.groupBy("start").agg(F.collect_set("version_id").alias("tips"))  # versions of a graph that is broadcast
     if cut is not None:
         tips = tips.join(cut.groupBy("start").agg(F.collect_set("version_id").alias("cut")), "start", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The name of files with patterns; each rules the folder it lies in.
@@ -63,16 +63,27 @@ class Matcher:
         return cls(tuple(tuple(s) for s in scopes if s))
 
     @classmethod
-    def from_tree(cls, spark: SparkSession, folder: str, name: str = IGNORE_FILE, defaults: bool = True) -> "Matcher":
-        """The patterns of all files called `name` under a folder."""
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
-        base = folder.removeprefix("file://").rstrip("/")
+    def from_tree(cls, folder: str, name: str = IGNORE_FILE, defaults: bool = True) -> "Matcher":
+        """The patterns of all files called `name` under a folder, each for its own folder."""
+        from cairnspark.sources.folders import listed, read_one
+
         patterns = {}
-        for r in found.select("path", "content").orderBy("path").collect():  # small files, a few
-            inside = re.sub("^file:/*", "/", r["path"]).removeprefix(base).strip("/")
-            patterns[inside.removesuffix(name).rstrip("/")] = r["content"].decode(errors="replace").splitlines()
+        for path, _, _ in listed(folder):
+            if path.rsplit("/", 1)[-1] == name:
+                patterns[path.removesuffix(name).rstrip("/")] = read_one(folder, path).decode(errors="replace").splitlines()
         return cls.of(patterns, defaults)
 
+    def ignores(self, path: str) -> bool:
+        """As `matches`, for one path."""
+        for rules in self.scopes:
+            hit = False
+            for regex, ignored in rules:
+                if re.search(regex, path):
+                    hit = ignored
+            if hit:
+                return True
+        return False
+
     def matches(self, path: Column) -> Column:
         out = F.lit(False)
         for rules in self.scopes:

@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cairnspark.operators.chunking import fixed_chunks, new_chunks
+from cairnspark.operators.chunking import Policy, cdc_chunks, new_chunks
 
 
-def chunk_stream(files: DataFrame, size: int = 2048) -> DataFrame:
-    """Chunks of a stream of files (path, content), each digest once within the state's life."""
-    return fixed_chunks(files, size).dropDuplicates(["hash"])
+def ingest(files: DataFrame, store_path: str, checkpoint: str, policy: Policy = Policy()) -> StreamingQuery:
+    """Appends the new content-defined chunks of a stream of files (path, content) to the Parquet store, each batch in a folder of its own, so that a repeated batch replaces itself.
 
-
-def ingest(files: DataFrame, store_path: str, checkpoint: str, size: int = 2048) -> StreamingQuery:
-    """Appends a batch's new chunks to the Parquet store, each batch in a folder of its own, so that a repeated batch replaces itself."""
+    The store itself is the state, so none grows in memory, and a digest is stored once however far apart its files come.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            held = spark.read.option("recursiveFileLookup", True).schema("hash string, len int, data string").parquet(store_path)
+            held = spark.read.option("recursiveFileLookup", True).schema("hash string, len int, data binary").parquet(store_path)
             held = held.where(~F.col("_metadata.file_path").contains(f"/batch-{number}/"))
-        except Exception as e:  # the first batch finds no store
+        except AnalysisException as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            held = spark.createDataFrame([], "hash string, len int, data string")
-        new_chunks(fixed_chunks(batch, size), held).select("hash", "len", "data").write.mode("overwrite").parquet(f"{store_path}/batch-{number}")
+            held = spark.createDataFrame([], "hash string, len int, data binary")
+        new_chunks(cdc_chunks(batch, policy), held).select("hash", "len", "data").write.mode("overwrite").parquet(f"{store_path}/batch-{number}")
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
