@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from cairnspark.sources.shipping import ship  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of our own, if all runs in one process; else RuntimeError."""
@@ -72,22 +72,5 @@ def one_to_a_task(spark: SparkSession, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
-def ship(spark: SparkSession) -> None:
-    """Puts this package on the executors' path, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cairn_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="cairn-code-"), "cairnspark.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(archive)
-    sc._cairn_shipped = True
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
