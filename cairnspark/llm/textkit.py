@@ -149,7 +149,7 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def _letter_table() -> np.ndarray:
     t = LOWER.copy()
     keep = np.zeros(256, bool)
-    keep[97:123] = True
+    keep[65:91] = keep[97:123] = True
     keep[128:] = True
     t[~keep] = 0x20
     return t

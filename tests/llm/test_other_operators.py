@@ -1,7 +1,9 @@
 """Mixing, sharding, neighbours, URL filters and the pipeline."""
 
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -64,6 +66,34 @@ def test_mixing_weights_of_nothing():
             mixing.Plan.of([1, 1], [1.0, bad])
 
 
+def brute_schedule(rows, weights, block):
+    """Slot of every block by trying all sources at every slot, with fractions; the places of a source that has run out stay empty."""
+    total = sum(map(Fraction, map(str, weights)))
+    w = [Fraction(str(x)) / total for x in weights]
+    need, done, out, t = [-(-n // block) for n in rows], [0] * len(rows), {}, 0
+    while any(d < n for d, n in zip(done, need)):
+        ready = [(math.ceil((done[i] + 1) / w[i]), i) for i in range(len(rows)) if math.floor(done[i] / w[i]) <= t]
+        if ready:
+            _, i = min(ready)
+            out[i, done[i]] = t
+            done[i] += 1
+        t += 1
+    return out
+
+
+def test_mixing_against_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 31 == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)))
+    weights = {"": 0.125, "hot": 3.0, "s0": 0.7, "s1": 1.0, "s2": 0.3}
+    rows = mixing.placed(d, weights, block_rows=4).collect()
+    names = sorted({r.source for r in rows})
+    n = [sum(r.source == s for r in rows) for s in names]
+    slots = brute_schedule(n, [weights.get(s, 0.125) for s in names], 4)
+    for i, s in enumerate(names):
+        assert sorted(r.seq for r in rows if r.source == s) == list(range(n[i]))
+    want = {k: p for p, k in enumerate(sorted(((r.source, r.seq) for r in rows), key=lambda k: (slots[names.index(k[0]), k[1] // 4], k[1])))}
+    assert all(r.slot == slots[names.index(r.source), r.seq // 4] and r.position == want[r.source, r.seq] for r in rows)
+
+
 def test_mixing(spark, odd):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.placed(d, block_rows=4).collect()
@@ -250,3 +280,41 @@ def test_pipeline(spark, tmp_path):
             assert ids == {r.doc_id for r in before.collect()}
     sizes = [r[1] for r in docs.groupBy("shard").agg(F.sum(F.octet_length("text") + 1)).collect()]
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages over odd rows: nulls, texts without words or letters, repeated and near rows, benchmark passages, clashing names."""
+    import corpus_pipeline
+    from test_text_operators import brute_groups, brute_hits
+
+    base = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    passage = next(t for _, t in bench if len((t or "").split()) >= 12)
+    top = max(r[0] for r in base)
+    first, second = base[0], base[1]
+    more = [(None, None, None), ("", "en", "s"), (" \n\t", "en", None), ("12 34 !!", "en", "s"), (first[1], first[2], None), (first[1] + " x", first[2], "s"), (second[1] + " " + passage, second[2], "s"), (passage, "en", None)]
+    rows = base + [(top + 1 + k, *r) for k, r in enumerate(more)] + [base[5], base[5], (None, base[6][1] + " tail", base[6][2], "s")]
+    d = spark.createDataFrame([(*r, 7, "q") for r in rows], "doc_id long, text string, lang string, source string, position int, shard string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # what must stay
+    kept = [(i, t) for i, t, _, _ in rows if any(map(str.isalpha, t or ""))]
+    group = {}
+    for at, (i, n, c) in zip(sorted(range(len(kept)), key=lambda k: str((kept[k][0],))), sorted(brute_groups(kept), key=lambda r: str((r[0],)))):
+        group[at] = (i, c)
+    firsts = sorted({c for i, c in group.values()})
+    assert all(i is not None for i in firsts)
+    texts = dict(reversed([(i, t) for i, t in kept if i is not None]))
+    want = sorted(i for i, _, n_hit, _ in brute_hits([(i, texts[i]) for i in firsts], bench) if not n_hit)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "position", "shard", "shard_", "slot"]
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == want and all(r.text == texts[r.doc_id] and r.position == 7 and r["shard"] == "q" for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard_].append(r.slot)
+    assert sorted(slots) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    empty = tmp_path / "none"
+    d.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).isEmpty()

@@ -199,6 +199,45 @@ def test_language_edges(spark):
     assert language_id.predict(d, None, {}).where("lang_pred <> 'und'").isEmpty() and language_id.train(d.limit(0)) is None
 
 
+def test_language_identification_against_brute_force(spark):
+    """Hashed n-grams counted one by one, and every duel of the machines by itself."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    m = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = [r.text for r in d.collect()] + [t for _, t in ODD if t]
+
+    def counts(text):
+        low = [b if 97 <= b <= 122 or b >= 128 else 32 for b in text.translate(LOW).encode()]
+        out = np.zeros(language_id.WIDTH)
+        for n in language_id.SIZES:
+            for at in range(len(low) - n + 1):
+                code = low[at]
+                for b in low[at + 1 : at + n]:
+                    code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+                h = code * (0x9E3779B1 + 2 * n) & 0xFFFFFFFF
+                out[(h ^ h >> 15) & (language_id.WIDTH - 1)] += 1
+        return out
+
+    def duels(machines, x):
+        votes, soft = Counter(), Counter()
+        for (i, j), w, b in zip(machines.pairs, machines.w.T if machines.pairs else (), machines.b if machines.pairs else ()):
+            margin = float(x @ w + b)
+            p = 1 / (1 + math.exp(-4 * margin))
+            votes[i if margin >= 0 else j] += 1
+            soft[i] += p / (len(machines.names) - 1)
+            soft[j] += (1 - p) / (len(machines.names) - 1)
+        best = max(range(len(machines.names)), key=lambda k: (votes[k], soft[k], -k)) if machines.pairs else 0
+        return machines.names[best], soft[best] if machines.pairs else 1.0
+
+    col = pa.array(texts, pa.large_string())
+    got = m.predict(*textkit.buffers(col))
+    for t, lang, score in zip(texts, *got):
+        x = np.log1p(counts(t))
+        x = x / max(1e-9, np.linalg.norm(x))
+        family, a = duels(m.families, x)
+        want, b = duels(m.within[family], x)
+        assert lang == want and score == pytest.approx(a * b, abs=1e-4), t[:40]
+
+
 def test_language_sample_holds_no_text_twice(spark):
     d = spark.range(700).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     hot = d.orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_000))).limit(1)
