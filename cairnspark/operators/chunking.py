@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from cairnspark.functions.digest import digest
+from cairnspark.functions.digest import digest, digest_children
 from cairnspark.sources.shipping import ship
 
 
@@ -87,6 +87,12 @@ def cdc_chunks(files: DataFrame, policy: Policy = Policy(), key: str = "path", c
     return cut.select(F.col("key").alias(key), "ord", "off", "len", digest(data).alias("hash"), data.alias("data"))
 
 
+def flat_objects(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """by, object, children: a file as the flat list of its chunks' digests, under the digest of that list."""
+    kids = chunks.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "hash"))), lambda c: c["hash"]).alias("children"))
+    return kids.select(*by, digest_children(F.col("children")).alias("object"), "children")
+
+
 def new_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
     """One row for each digest that the store doesn't hold."""
     return chunks.dropDuplicates(["hash"]).join(store.select("hash"), "hash", "left_anti")

@@ -87,12 +87,12 @@ def directory_tree(files: DataFrame) -> DataFrame:
     return out.groupBy("path").agg(F.max_by(F.struct("node_hash", "is_directory", "size", "n_children"), "is_directory").alias("x")).select("path", "x.*")
 
 
-def node_entries(index: DataFrame) -> DataFrame:
-    """hash, kind (file or directory), size, children (sorted structs of name and hash; empty for files) of every node of a path index, once."""
+def node_entries(index: DataFrame, by: list[str] = ()) -> DataFrame:
+    """hash, kind (file or directory), size, children (sorted structs of name and hash; empty for files) of every node of a path index, or of one for each `by`, once."""
     parent = F.when(F.instr("path", "/") == 0, "").otherwise(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)"))
-    kids = index.where("path <> ''").groupBy(parent.alias("path")).agg(F.sort_array(F.collect_list(F.struct(F.substring_index("path", "/", -1).alias("name"), F.col("node_hash").alias("hash")))).alias("children"))
+    kids = index.where("path <> ''").groupBy(*by, parent.alias("path")).agg(F.sort_array(F.collect_list(F.struct(F.substring_index("path", "/", -1).alias("name"), F.col("node_hash").alias("hash")))).alias("children"))
     none = F.array().cast("array<struct<name:string,hash:string>>")
-    nodes = index.join(kids, "path", "left").select(F.col("node_hash").alias("hash"), F.when(F.col("is_directory"), "directory").otherwise("file").alias("kind"), "size", F.when(F.col("is_directory"), F.coalesce("children", none)).otherwise(none).alias("children"))
+    nodes = index.join(kids, [*by, "path"], "left").select(F.col("node_hash").alias("hash"), F.when(F.col("is_directory"), "directory").otherwise("file").alias("kind"), "size", F.when(F.col("is_directory"), F.coalesce("children", none)).otherwise(none).alias("children"))
     return nodes.dropDuplicates(["hash", "kind"])
 
 

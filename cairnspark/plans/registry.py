@@ -514,6 +514,11 @@ def ignore_defaults(spark, d):
     return p.withColumn("ignored", ignore.Matcher.of({"": ["!keep.tmp"], "src": ["*.gen.ts"]}).matches(F.col("path")))
 
 
+@_query("flat_objects", f"WITH {_FILES}, {_chunks('f', 'c')} SELECT path, sha256(unhex(string_agg(hash, '' ORDER BY ord))) object, count(*) n FROM c GROUP BY path")
+def flat_objects(spark, d):
+    return chunking.flat_objects(chunking.fixed_chunks(i.files(spark, d)), ["path"]).select("path", "object", F.size("children").cast("long").alias("n"))
+
+
 # --- the node table ---
 _NODES = _TREE + """,
 kids AS (SELECT CASE WHEN instr(path, '/') = 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END path, string_agg(regexp_extract(path, '[^/]*$') || '=' || node_hash, ',' ORDER BY regexp_extract(path, '[^/]*$')) children FROM idx WHERE path <> '' GROUP BY 1),

@@ -53,8 +53,8 @@ def inventory(w: Warehouse, versions: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def transfer(source: Warehouse, to: Warehouse, versions: DataFrame, session: str | None = None, session_limit: int = sync.SESSION_BYTES, object_limit: int = sync.OBJECT_BYTES) -> dict[str, int]:
-    """Copies what `to` lacks of versions; objects and bytes that were sent. Quotas and chunk digests are checked before anything is written."""
+def transfer(source: Warehouse, to: Warehouse, versions: DataFrame, session: str | None = None, session_limit: int = sync.SESSION_BYTES, object_limit: int = sync.OBJECT_BYTES, progress=None) -> dict[str, int]:
+    """Copies what `to` lacks of versions; objects and bytes that were sent. progress(table, rows) is called after each table. Quotas and chunk digests are checked before anything is written."""
     got, sent, size = contents(source, versions), 0, 0
     missing = {}
     for name, rows in got.items():
@@ -74,6 +74,8 @@ def transfer(source: Warehouse, to: Warehouse, versions: DataFrame, session: str
         if name == "chunks" and session is not None and n:
             to.control.note_sent(session, rows)
         sent += n if name not in ("file_chunks", "path_index") else 0
+        if progress is not None:
+            progress(name, n)
     forget(*missing.values())
     return {"objects": sent, "bytes": over["bytes"]}
 
@@ -83,8 +85,8 @@ def _history(w: Warehouse, tips: list[str], depth: int | None = None) -> DataFra
     return history.ancestors(w.edges(), starts, depth)
 
 
-def push(source: Warehouse, to: Warehouse, refs: list[str], now: int, remote: str = "origin", force: bool = False, **limits: int) -> dict[str, str]:
-    """Sends branches and tags: ref -> ok, up-to-date, stale or non-fast-forward. A session is noted on the other side, tracking refs on this one."""
+def push(source: Warehouse, to: Warehouse, refs: list[str], now: int, remote: str = "origin", force: bool = False, **more) -> dict[str, str]:
+    """Sends branches and tags: ref -> ok, up-to-date, stale or non-fast-forward. more: limits and progress of `transfer`. A session is noted on the other side, tracking refs on this one."""
     own, theirs = source.refs(), to.refs()
     for r in refs:
         if r not in own:
@@ -102,7 +104,7 @@ def push(source: Warehouse, to: Warehouse, refs: list[str], now: int, remote: st
             have = [x["target"] for x in theirs.values()]
             lacks = _history(source, [own[r]["target"] for r in moving]).select("version_id").distinct()
             known = history.ancestors(to.edges(), to.spark.createDataFrame([(0, t) for t in have], "start int, version_id string")).select("version_id")
-            total = transfer(source, to, lacks.join(known, "version_id", "left_anti"), session, **limits)
+            total = transfer(source, to, lacks.join(known, "version_id", "left_anti"), session, **more)
             for r in moving:
                 try:
                     to.put_ref(r, own[r]["target"], own[r]["kind"], expected=... if force else theirs[r]["target"] if r in theirs else None)

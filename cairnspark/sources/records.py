@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -84,3 +85,27 @@ class Records:
         if row is None:
             raise NotFound(f"{self.folder.rsplit('/', 1)[-1]}: {key}")
         return row
+
+
+@dataclass
+class KeyValues:
+    """JSON values of any size under string keys."""
+
+    spark: SparkSession
+    folder: str
+
+    def _records(self) -> Records:
+        return Records(self.spark, self.folder, "key string, value string", ("key",))
+
+    def put(self, key: str, value) -> None:
+        self._records().put([(key, json.dumps(value, sort_keys=True))])
+
+    def get(self, key: str):
+        return json.loads(self._records().get(key=key)["value"])
+
+    def delete(self, key: str) -> None:
+        self._records().delete(F.col("key") == key)
+
+    def scan(self, prefix: str) -> list[tuple[str, object]]:
+        """(key, value) of all keys with a prefix, in order."""
+        return [(r["key"], json.loads(r["value"])) for r in self._records().rows().where(F.col("key").startswith(prefix)).orderBy("key").collect()]

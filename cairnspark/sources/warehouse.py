@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions.digest import digest, version_id
 from cairnspark.operators import chunking, history, trees
+from cairnspark.sources import migrations
 from cairnspark.sources.control import Control
 from cairnspark.sources.pointer import Conflict, Pointer
 from cairnspark.sources.shipping import ship
@@ -43,20 +44,43 @@ class Warehouse:
     spark: SparkSession
     root: str
 
+    def __post_init__(self):
+        self._layout = None
+
     @property
     def control(self) -> Control:
         return Control(self.spark, self.root)
 
     # --- tables ---
+    def layout(self) -> dict:
+        """The store's schema version, and the folders of tables that a migration has written anew. A store older than its folders is migrated when it is opened."""
+        if self._layout is None:
+            number, found = self._schema().latest(None)
+            if found is None and self._exists(f"{self.root}/chunks"):
+                found = migrations.run(self, 1)
+            self._layout = found or {"version": migrations.CURRENT, "folders": {}}
+            if found is None:
+                self._schema().swap(number, self._layout)
+        return self._layout
+
+    def _schema(self) -> Pointer:
+        return Pointer(self.spark, f"{self.root}/_schema")
+
+    def _exists(self, path: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def folder(self, name: str) -> str:
+        return f"{self.root}/{self.layout()['folders'].get(name, name)}"
+
     def table(self, name: str) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if not self._exists(self.folder(name)):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(path))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self.folder(name))
 
     def append(self, name: str, rows: DataFrame, *partition_by: str) -> None:
         w = rows.select(*self.table(name).columns).write.mode("append").option("compression", "zstd")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/{name}")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(self.folder(name))
 
     # --- refs ---
     def _refs(self) -> Pointer:
@@ -190,6 +214,28 @@ class Warehouse:
             raise MissingChunk(f"{lost['path']!r} lacks a chunk")
         return chunking.reassembled(parts, self.table("chunks"), ["path"]).select("path", "content")
 
+    def listing(self, name: str, directory: str = "") -> DataFrame:
+        """name, path, node_hash, is_directory, size of what lies in a directory; NotADirectoryError or FileNotFoundError if it is none."""
+        index = self.index(name)
+        at = index.where(F.col("path") == directory).first()
+        if at is None:
+            raise FileNotFoundError(directory)
+        if not at["is_directory"]:
+            raise NotADirectoryError(directory)
+        return trees.list_directory(index, directory).orderBy("name")
+
+    def read_file(self, name: str, path: str):
+        """The bytes of one file, a chunk at a time and in order: only a chunk is on the driver."""
+        row = self.index(name).where(F.col("path") == path).first()
+        if row is None or row["is_directory"]:
+            raise FileNotFoundError(path)
+        own = self.table("file_chunks").where(F.col("root") == row["node_hash"]).select("ord", "hash").dropDuplicates(["ord"])
+        got = own.join(self.table("chunks").select("hash", "data").dropDuplicates(["hash"]), "hash", "left").orderBy("ord")
+        for r in got.select("data").toLocalIterator():
+            if r["data"] is None:
+                raise MissingChunk(f"{path!r} lacks a chunk")
+            yield bytes(r["data"])
+
     def verify(self) -> DataFrame:
         """Chunks whose data isn't what their digest says; empty if all is well."""
         return self.table("chunks").where(digest(F.col("data")) != F.col("hash")).select("hash")

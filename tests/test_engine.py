@@ -328,6 +328,84 @@ def test_checkout_status_and_staged_commit(spark, tmp_path):
         checkout.commit_staged(w, str(at), staged.limit(0), "nothing", 3)
 
 
+def test_an_old_store_is_migrated(spark, tmp_path):
+    """Chunks of text with lengths in characters become chunks of bytes, and a node table is made."""
+    from cairnspark.sources.config import Config
+    from cairnspark.sources.warehouse import Warehouse
+
+    w = Warehouse(spark, f"file://{tmp_path}/old")
+    text = "é" * 3000
+    old = chunking.fixed_chunks(files(spark, [("a", "x"), ("d/b", text)]))
+    roots = trees.merkle_roots(old, ["path"])
+    index = trees.directory_tree(roots.select("path", F.col("root").alias("hash"), "size"))
+    old.select("hash", "data", "len").write.parquet(f"{w.root}/chunks")
+    old.join(roots.select("path", "root"), "path").select("root", "ord", "off", "len", "hash").write.parquet(f"{w.root}/file_chunks")
+    index.withColumn("version_id", F.lit("v")).write.partitionBy("version_id").parquet(f"{w.root}/path_index")
+    spark.createDataFrame([("v", index.where("path = ''").first().node_hash, "m", 1, {}, [])], "version_id string, root string, message string, ts long, metadata map<string,string>, parents array<string>").write.parquet(f"{w.root}/versions")
+    w = Config(local=str(tmp_path / "old")).open(spark)
+    assert w.layout()["version"] == 2 and Warehouse(spark, w.root).layout() == w.layout()
+    assert {r.path: bytes(r.content).decode() for r in w.files("v").collect()} == {"a": "x", "d/b": text} and w.verify().isEmpty()
+    assert sorted((r.ord, r.off, r.len) for r in w.table("file_chunks").where("off > 0 OR len > 10").collect()) == [(0, 0, 4096), (1, 4096, 1904)]
+    again = trees.walked(w.table("versions").select("root"), w.table("node_entries")).where("NOT missing").select("path", "node_hash").collect()
+    assert sorted(map(tuple, again)) == sorted((r.path, r.node_hash) for r in w.index("v").collect())
+
+
+def test_config(tmp_path):
+    from cairnspark.sources.config import Config
+
+    (tmp_path / "c.toml").write_text('[store]\nlocal = "/x"\n')
+    assert Config.from_file(str(tmp_path / "c.toml")) == Config("/x") and Config.from_env({"CAIRN_CLOUD": "s3a://b/p"}) == Config(None, "s3a://b/p")
+    for bad in ({}, {"CAIRN_LOCAL": "/x", "CAIRN_CLOUD": "s3a://b"}, {"CAIRN_CLOUD": "b"}):
+        with pytest.raises(ValueError):
+            Config.from_env(bad)
+
+
+def test_key_values(spark, tmp_path):
+    from cairnspark.sources.records import KeyValues, NotFound
+
+    kv = KeyValues(spark, f"file://{tmp_path}/kv")
+    kv.put("a/1", {"x": "y" * 20_000})
+    kv.put("a/2", 5)
+    kv.put("a/2", [6])
+    kv.put("b", None)
+    assert kv.get("a/1")["x"] == "y" * 20_000 and [k for k, _ in kv.scan("a/")] == ["a/1", "a/2"] and kv.get("a/2") == [6] and kv.get("b") is None
+    kv.delete("a/1")
+    with pytest.raises(NotFound):
+        kv.get("a/1")
+
+
+def test_cancelling(spark):
+    import threading
+
+    from cairnspark.sources.cancel import Cancelled, CancelToken
+
+    t = CancelToken(spark)
+    with t.within():
+        assert spark.range(3).count() == 3
+    threading.Timer(2, t.cancel).start()
+    with pytest.raises(Cancelled), t.within():
+        spark.range(1 << 50).where("sqrt(id) < 0").count()
+    with pytest.raises(Cancelled), t.within():
+        pass
+
+
+def test_reading_one_file_and_listings(spark, tmp_path):
+    from cairnspark.sources.warehouse import MissingChunk, Warehouse
+
+    w, body = Warehouse(spark, f"file://{tmp_path}/w"), noise(3, 6000)
+    version(spark, w, [("d/b", body), ("a", b"A")], 1)
+    parts = list(w.read_file("main", "d/b"))
+    assert len(parts) > 3 and b"".join(parts) == body and [r.name for r in w.listing("main").collect()] == ["a", "d"] and [r.path for r in w.listing("main", "d").collect()] == ["d/b"]
+    for error, call in ((FileNotFoundError, lambda: list(w.read_file("main", "d"))), (FileNotFoundError, lambda: w.listing("main", "x")), (NotADirectoryError, lambda: w.listing("main", "a"))):
+        with pytest.raises(error):
+            call()
+    other = Warehouse(spark, f"file://{tmp_path}/o")
+    for t in ("versions", "path_index", "file_chunks"):
+        other.append(t, w.table(t))
+    with pytest.raises(MissingChunk):
+        list(other.read_file(w.resolve("main"), "a"))
+
+
 def test_control_tables(spark, tmp_path):
     from cairnspark.sources.control import Control
     from cairnspark.sources.records import Exists, NotFound
