@@ -15,7 +15,6 @@ from cairnspark.sources.records import Records
 
 TABLES = {
     "sessions": ("session_id string, remote string, direction string, status string, started_at long, ended_at long, objects long, bytes long, error string, refs map<string,string>", ("session_id",)),
-    "manifests": ("session_id string, hash string", ("session_id", "hash")),
     "remotes": ("name string, url string", ("name",)),
     "remote_refs": ("remote string, ref string, target string, at long", ("remote", "ref")),
     "shallow": ("version_id string", ("version_id",)),
@@ -29,6 +28,8 @@ TABLES = {
     "memberships": ("org string, user string, role string", ("org", "user")),
     "worktree": ("workspace string, path string, mtime long, size long, hash string", ("workspace", "path")),
 }
+#: Tables whose rows grow with the objects or files of a store.
+LARGE = ("garbage", "pending", "worktree")
 #: Of the newest sessions, how many are looked at for one to resume and for stale ones.
 RESUME_AMONG, EXPIRE_AMONG = 50, 200
 
@@ -43,7 +44,11 @@ class Control:
     def __getattr__(self, name: str) -> Records:
         if name not in TABLES:
             raise AttributeError(name)
-        return Records(self.spark, f"{self.root}/control/{name}", *TABLES[name])
+        return Records(self.spark, f"{self.root}/control/{name}", *TABLES[name], large=name in LARGE)
+
+    def _manifest(self, session: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/control/manifests/{session}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     # --- sessions ---
     def begin(self, remote: str, direction: str, now: int, refs: dict[str, str] | None = None) -> str:
@@ -53,7 +58,8 @@ class Control:
 
     def complete(self, session: str, now: int, objects: int, size: int) -> None:
         self.sessions.update(F.col("session_id") == session, status=F.lit("completed"), ended_at=F.lit(now), objects=F.lit(objects), bytes=F.lit(size))
-        self.manifests.delete(F.col("session_id") == session)
+        path, fs = self._manifest(session)
+        fs.delete(path, True)
 
     def fail(self, session: str, now: int, error: str) -> None:
         self.sessions.update(F.col("session_id") == session, status=F.lit("failed"), ended_at=F.lit(now), error=F.lit(error))
@@ -70,11 +76,12 @@ class Control:
         return len(old)
 
     def note_sent(self, session: str, hashes: DataFrame) -> None:
-        """Adds digests to a session's manifest; those it has stay once."""
-        self.manifests.put(hashes.select(F.lit(session).alias("session_id"), "hash").distinct())
+        """Appends digests to a session's manifest; `sent` has each once."""
+        hashes.select("hash").write.mode("append").parquet(str(self._manifest(session)[0]))
 
     def sent(self, session: str) -> DataFrame:
-        return self.manifests.rows().where(F.col("session_id") == session).select("hash")
+        path, fs = self._manifest(session)
+        return self.spark.read.schema("hash string").parquet(str(path)).distinct() if fs.exists(path) else self.spark.createDataFrame([], "hash string")
 
     # --- remotes ---
     def remove_remote(self, name: str) -> None:
@@ -113,7 +120,7 @@ class Control:
         before = queue.rows()
         taken = before.join(hashes.select("hash").distinct(), "hash", "left_semi").count()
         if taken:
-            queue._change(lambda old: upkeep.drained(old, hashes))
+            queue.change(lambda old: upkeep.drained(old, hashes))
         return taken
 
     # --- workspaces, organisations ---

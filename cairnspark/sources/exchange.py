@@ -55,8 +55,9 @@ def inventory(w: Warehouse, versions: DataFrame) -> DataFrame:
 
 def transfer(source: Warehouse, to: Warehouse, versions: DataFrame, session: str | None = None, session_limit: int = sync.SESSION_BYTES, object_limit: int = sync.OBJECT_BYTES, progress=None) -> dict[str, int]:
     """Copies what `to` lacks of versions; objects and bytes that were sent. progress(table, rows) is called after each table. Quotas and chunk digests are checked before anything is written."""
-    got, sent, size = contents(source, versions), 0, 0
-    missing = {}
+    if versions.isEmpty():
+        return {"objects": 0, "bytes": 0}
+    got, sent, missing = contents(source, versions), 0, {}
     for name, rows in got.items():
         missing[name] = kept(rows.join(to.table(name).select(*KEYS[name]).distinct(), KEYS[name], "left_anti"), f"send-{name}")
     chunks = missing["chunks"]

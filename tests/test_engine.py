@@ -268,28 +268,26 @@ def test_push_pull_and_shallow_clone(spark, tmp_path):
     from cairnspark.sources.warehouse import Warehouse
 
     here, there, third = (Warehouse(spark, f"file://{tmp_path}/{n}") for n in "htd")
-    chain = [version(spark, here, [("f", noise(0, 2000) + bytes([k]))], k + 1) for k in range(4)]
+    one, two = (version(spark, here, [("f", noise(0, 900) + bytes([k]))], k + 1) for k in range(2))
     assert exchange.push(here, there, ["main"], 10) == {"main": "ok"} and exchange.push(here, there, ["main"], 11) == {"main": "up-to-date"}
     s = there.control.sessions.rows().collect()
-    assert [(r.status, r.direction, r.refs["main"]) for r in s] == [("completed", "push", chain[-1])] and s[0].objects > 4 and there.control.manifests.rows().isEmpty()
-    assert [(r.ref, r.target) for r in here.control.tracked("origin").collect()] == [("main", chain[-1])]
+    assert [(r.status, r.direction, r.refs["main"]) for r in s] == [("completed", "push", two)] and s[0].objects > 3 and there.control.sent(s[0].session_id).isEmpty()
+    assert [(r.ref, r.target) for r in here.control.tracked("origin").collect()] == [("main", two)]
+    # a clone of depth 1, then the rest
+    exchange.clone(there, third, depth=1)
+    assert [r.version_id for r in third.table("versions").collect()] == [two] and [r.version_id for r in third.control.shallow.rows().collect()] == [one]
+    exchange.unshallow(there, third)
+    assert third.table("versions").count() == 2 and third.control.shallow.rows().isEmpty() and bytes(third.files(one).first().content)[-1] == 0
     # both sides go on: neither way is forward
-    version(spark, there, [("f", b"there")], 20)
+    tip = version(spark, there, [("f", b"there")], 20)
     version(spark, here, [("f", b"here")], 21)
+    assert exchange.pull(third, there, 31) == {"main": "fast-forward"} and bytes(third.files("HEAD").first().content) == b"there"
     assert exchange.push(here, there, ["main"], 22) == {"main": "non-fast-forward"} and exchange.pull(here, there, 23) == {"main": "diverged"}
-    assert here.control.remote_refs.get(remote="origin", ref="main").target == there.refs()["main"]["target"]
-    assert exchange.push(here, there, ["main"], 24, force=True) == {"main": "ok"} and there.refs()["main"] == here.refs()["main"]
-    # a clone of depth 2, then the rest
-    exchange.clone(there, third, depth=2)
-    assert third.table("versions").count() == 2 and [r.version_id for r in third.control.shallow.rows().collect()] == [chain[2]]
-    exchange.unshallow(there, third)
-    assert third.table("versions").count() == 5 and third.control.shallow.rows().isEmpty() and bytes(third.files(chain[0]).first().content)[-1] == 0
-    version(spark, there, [("f", b"more")], 30)
-    assert exchange.pull(third, there, 31) == {"main": "fast-forward"} and bytes(third.files("HEAD").first().content) == b"more"
+    assert here.control.remote_refs.get(remote="origin", ref="main").target == tip and here.refs()["main"]["target"] != tip
     with pytest.raises(exchange.Refused):
-        version(spark, here, [("g", noise(9, 5000))], 40, branch="big")
-        exchange.push(here, there, ["big"], 41, session_limit=1000)
-    assert "big" not in there.refs() and there.control.sessions.rows().where("status = 'failed'").count() == 1
+        exchange.push(here, there, ["main"], 24, force=True, session_limit=1)
+    assert there.refs()["main"]["target"] == tip and there.control.sessions.rows().where("status = 'failed'").count() == 1
+    assert exchange.push(here, there, ["main"], 25, force=True) == {"main": "ok"} and there.refs()["main"] == here.refs()["main"]
 
 
 def test_checkout_status_and_staged_commit(spark, tmp_path):
