@@ -18,7 +18,7 @@ Two texts link when 100 * |intersection| >= percent * |union| of their sets of k
 5. Round two finds every other link: each pair of classes of different components that the trie leaves is compared on
    whole sets. Only meeting points that two components share take part. The component of the first list under a meeting
    point is dealt out in blocks which all other lists visit, so its own pairs are never laid out; the other lists meet
-   in pairs of blocks.
+   in pairs of blocks. So no cell holds more than two blocks.
 
 So no link between different components is lost, while no group of near copies is expanded into its pairs.
 
@@ -292,7 +292,7 @@ def trie_proposals(members: list[Member], percent: int):
 
 
 def _with_windows(postings: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Rows for all meeting points of each class: token, cls, comp, members, major, heads, n, dead (prefix shingles that nobody shares), after, window, bitmap."""
+    """Rows for all meeting points of each class: token, cls, comp, members, major, head (as the postings have them), n, dead (prefix shingles that nobody shares), after, window, bitmap."""
 
     most = WINDOW
 
@@ -374,7 +374,7 @@ def _proposed(lists: DataFrame, parts: int, percent: int) -> DataFrame:
 
 
 def _crossing(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """The postings under shingles that two components share, with their components; members: of the major component, that of the head; others: the rest."""
+    """The postings under shingles that two components share, with their components. major: the component of the first list; members: how many of its lists there are; head: how many others."""
     postings = postings.drop("comp", "members", "major", "head").join(comps.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     shared = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", F.struct("n", "cls")).alias("major")).where("lo <> hi").select("token", "major")
     alive = postings.join(shared, "token")
@@ -383,12 +383,13 @@ def _crossing(postings: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _remaining(lists: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Round two: the major component's lists lie in blocks that all others visit; the others meet in pairs of blocks."""
+    """Round two: each block of the major component's lists meets each block of the others (hi below 0); the others also meet in pairs of blocks."""
     majors, others = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "head"))
     lists = lists.withColumn("is_major", F.col("comp") == F.col("major"))
-    is_major = lists.where("is_major").withColumn("lo", F.pmod(F.xxhash64("cls"), majors).cast("int")).withColumn("hi", F.lit(-1)).withColumn("side", F.lit(0))
-    visits = lists.where("NOT is_major AND members > 0").withColumn("lo", F.explode(F.sequence(F.lit(0), majors - 1))).withColumn("hi", F.lit(-1)).withColumn("side", F.lit(1))
-    among = lists.where("NOT is_major AND head > 1").withColumn("own", F.pmod(F.xxhash64("cls"), others).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    block = lambda blocks: F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    is_major = lists.where("is_major AND head > 0").withColumn("lo", block(majors)).withColumn("hi", F.explode(F.sequence(-others, F.lit(-1)))).withColumn("side", F.lit(0))
+    visits = lists.where("NOT is_major AND members > 0").withColumn("lo", F.explode(F.sequence(F.lit(0), majors - 1))).withColumn("hi", -1 - block(others)).withColumn("side", F.lit(1))
+    among = lists.where("NOT is_major AND head > 1").withColumn("own", block(others)).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     among = among.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other")
     return _met(is_major.unionByName(visits).unionByName(among), parts, percent, False).distinct()
 
