@@ -140,7 +140,8 @@ class Typical:
     A floor is half of what nearly every piece of the language's labelled texts reaches in a profile made without its
     text, for pieces of PIECES bytes; a text has the floor of the longest piece that is no longer than it. A text fits if
     it reaches the floor of any language. Floors are each language's own, so their number doesn't shift them. A language
-    of one text has no floor.
+    of one text has no second one to measure a floor on: it takes the highest of the others, or what its own text reaches
+    if that is less. If no language has a second text, there are no floors.
     """
 
     profiles: dict[str, np.ndarray]
@@ -191,6 +192,10 @@ def typical(sample: Sample) -> Typical:
             if len(least):
                 floors[v][k] = min(least[len(least) // 100], least[len(least) // 100] / 2)
         floors[v] = np.minimum.accumulate(floors[v][::-1])[::-1]
+    highest = np.max(list(floors.values()), axis=0) if floors else None
+    for v in floors:
+        own = _likeness(sample.counts[[k == v for k in sample.langs]], profiles[v]).min()
+        floors[v] = np.where(np.isfinite(floors[v]), floors[v], np.minimum(highest, own))
     return Typical(profiles, floors)
 
 
@@ -278,11 +283,13 @@ def held_out(doc_id: Column, fold: int = 2, of: int = 4) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % of == fold
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_col: str = "text", like: Typical | None = None) -> DataFrame:
-    """`docs` without the rows whose language is undetermined, has a score under `least` or, with `like`, whose text is like no language of the sample; columns as they are. Only texts go to Python."""
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_col: str = "text", like: Typical | None = None, into: str | None = None) -> DataFrame:
+    """`docs` without the rows whose language is undetermined, has a score under `least` or, with `like`, whose text is like no language of the sample. The column `into`, if one is named, gets the language of the text; all others are as they are. Only texts go to Python."""
     ship(docs.sparkSession)
+    names = docs.columns
+    inside = [f"c{i}" for i in range(len(names))]
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf("string")
     def known(col: pa.Array) -> pa.Array:
         langs, scores = _judged(col, model)
         keep = (langs != UNDETERMINED) & (scores >= least)
@@ -290,6 +297,8 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_co
             data, offsets = textkit.buffers(col)
             for i, j in textkit.slices(offsets, 1 << 20, rows=256):
                 keep[i:j] &= like.fits(data, offsets[i : j + 1])
-        return pa.array(keep)
+        return pa.array(langs, pa.string(), mask=~keep)
 
-    return docs.where(known(F.col(f"`{text_col}`").cast("string")))
+    # called nondeterministic, or the planner runs it once for the filter and once for the column
+    own = docs.toDF(*inside).withColumn("known", known.asNondeterministic()(F.col(inside[names.index(text_col)]).cast("string"))).where("known IS NOT NULL")
+    return own.select(*[(F.col("known").cast(f.dataType) if f.name == into else F.col(c)).alias(f.name) for c, f in zip(inside, docs.schema.fields)])

@@ -11,10 +11,14 @@ driver's work and memory grow with the blocks (one for each `block_rows` rows),
 slot follows from its source and number. Slots that no block takes stay empty, as when a source has run out; the others
 stay within a block of their targets. Positions number the rows that are there, so every row is placed exactly once.
 
+With a second column (`within_col`), the rows of each of its values are spread evenly over their source's rows: within
+the source, they are scheduled the same way, with their numbers of rows as weights, so after any number of its slots each
+value deviates from its share by less than one block. The sources' places don't change.
+
 Defined cases. Null source: the source "". Sources that have no target get the smallest target; with no targets at all,
 weights are the square roots of the sources' row counts. Sources of weight 0 come after all others, one after another.
 Negative or infinite weights: ValueError. Null ids and texts: ordinary rows. Repeated rows: a place each.
-Empty table: no rows. More than MAX_SOURCES sources: ValueError. Extra columns pass through `mixed`.
+Null in `within_col`: the value "". Empty table: no rows. More than MAX_SOURCES sources: ValueError. Extra columns pass through `mixed`.
 """
 
 from __future__ import annotations
@@ -128,11 +132,16 @@ class Plan:
         return out
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, text_hash, source, seq (its number in its source), block, slot, position (gapless from 0)."""
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", within_col: str | None = None) -> DataFrame:
+    """One row for each row: id, text_hash, source, seq (its number in its source), block, slot, position (gapless from 0).
+
+    The driver gets a row for each source and value of `within_col`: few values, such as languages, are meant.
+    """
     spark = docs.sparkSession
     ship(spark)
-    narrow = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")), "sources")
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
+    part = F.struct(source, (F.coalesce(F.col(within_col).cast("string"), F.lit("")) if within_col else F.lit("")).alias("kind")).alias("part")
+    narrow = written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), source, part), "sources")
     counts = {r["source"]: r["n"] for r in narrow.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -143,30 +152,38 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     else:
         target = [sqrt(counts[s]) for s in names]
     plan = Plan.of([counts[s] for s in names], target, block_rows)
-    numbered, blocks = in_blocks(narrow, "source", ["id", "text_hash"])
-    offsets, before, last = [], 0, None
-    for r in blocks:
-        before = 0 if r["source"] != last else before
-        offsets.append((r["source"], r["block"], before))
-        before, last = before + r["n"], r["source"]
+    numbered, blocks = in_blocks(narrow, "part", ["id", "text_hash"])
+    offsets, before, last, kinds = [], 0, None, [{} for _ in names]
     index = {s: i for i, s in enumerate(names)}
-    held = spark.sparkContext.broadcast(plan)
+    for r in blocks:
+        before = 0 if r["part"] != last else before
+        own = kinds[index[r["part"]["source"]]]
+        own[r["part"]["kind"]] = own.get(r["part"]["kind"], 0) + r["n"]
+        offsets.append((r["part"], r["block"], before))
+        before, last = before + r["n"], r["part"]
+    inner = [Plan.of(list(n.values()), list(n.values()), block_rows) for n in kinds]
+    where = {(s, kind): (i, k) for i, s in enumerate(names) for k, kind in enumerate(kinds[i])}
+    held = spark.sparkContext.broadcast((plan, inner, where))
 
     def run(batches):
-        plan = held.value
+        plan, inner, where = held.value
         for b in batches:
-            seq = b.column(3).to_numpy(zero_copy_only=False)
-            own = np.array([index[s] for s in b.column(2).to_pylist()], np.int64)
+            nth = b.column(4).to_numpy(zero_copy_only=False)
+            at = np.array([where[p] for p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], np.int64).reshape(-1, 2)
+            own, seq = at[:, 0], np.zeros(len(nth), np.int64)
+            for i, k in np.unique(at, axis=0):
+                rows = (own == i) & (at[:, 1] == k)
+                seq[rows] = inner[i].rows_before(inner[i].slots(k, nth[rows] // block_rows)) + nth[rows] % block_rows
             block, slot = seq // block_rows, np.zeros(len(seq), np.int64)
             for i in np.unique(own):
                 slot[own == i] = plan.slots(i, block[own == i])
             each, back = np.unique(slot, return_inverse=True)
             position = plan.rows_before(each)[back] + seq % block_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(slot), pa.array(position)], [*b.schema.names, "block", "slot", "position"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(seq), pa.array(block), pa.array(slot), pa.array(position)], [*b.schema.names[:3], "seq", "block", "slot", "position"])
 
-    table = spark.createDataFrame(offsets, "source string, block int, before long")
-    seq = numbered.join(F.broadcast(table), ["source", "block"]).select("id", "text_hash", "source", (F.col("before") + F.col("rn")).alias("seq"))
-    out = written(seq.mapInArrow(run, "id long, text_hash long, source string, seq long, block long, slot long, position long"), "places")
+    table = spark.createDataFrame(offsets, "part struct<source:string,kind:string>, block int, before long")
+    nth = numbered.join(F.broadcast(table), ["part", "block"]).select("id", "text_hash", "source", "part.kind", (F.col("before") + F.col("rn")).alias("nth"))
+    out = written(nth.mapInArrow(run, "id long, text_hash long, source string, seq long, block long, slot long, position long"), "places")
     forget(narrow)
     return out.withColumnRenamed("id", id_col)
 
@@ -188,12 +205,12 @@ def by_row(docs: DataFrame, given: DataFrame, id_col: str, text_col: str, column
     return own.join(given, on).select(*docs.columns, *[F.col(f"_v_{c}") for c in columns])
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", within_col: str | None = None) -> DataFrame:
     """All rows of `docs` with their columns, laid out in the order of the mix: partitions are runs of it, and sorted."""
     names = docs.columns
     inside = [f"c{i}" for i in range(len(names))]
     own = docs.toDF(*inside)
     ids = [inside[names.index(c)] for c in (id_col, source_col, text_col)]
-    given = placed(own, weights, block_rows, *ids)
+    given = placed(own, weights, block_rows, *ids, within_col=inside[names.index(within_col)] if within_col else None)
     out = by_row(own, given, ids[0], ids[2], ["position"])
     return out.repartitionByRange(partitions(docs.sparkSession), "_v_position").sortWithinPartitions("_v_position").select(*inside).toDF(*names)

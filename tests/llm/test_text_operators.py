@@ -263,6 +263,20 @@ def test_pipeline_drops_texts_of_no_learned_language(spark):
     assert len(ids - kept) <= 0.001 * len(ids)
 
 
+def test_a_language_of_one_text_opens_no_gate(spark):
+    import corpus_pipeline
+
+    other = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "我们今天去公园散步，天气非常好。", "Η γρήγορη αλεπού πηδάει πάνω από το σκυλί", "xqzv kjwq zzpf vbnq wxkz qqjh ghtk pwzx jjkv"]
+    labelled = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    new = [(-1, "An ordinary sentence that somebody gave a strange label.", "xx"), *[(-2 - i, t, None) for i, t in enumerate(other)]]
+    docs = labelled.unionByName(spark.createDataFrame(new, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).select("doc_id").collect()}
+    assert {i for i in kept if i < 0} == {-1} and len(kept) > 0.99 * labelled.count()
+    # its own text stays, however unlike the others
+    d = spark.createDataFrame([(0, other[0], "ru"), *[(1 + i, f"the old house number {i}", "en") for i in range(9)], (10, other[2], None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, d, SF).collect()} == set(range(10))
+
+
 # --- token counts ---
 def token_texts():
     rnd = random.Random(2)
