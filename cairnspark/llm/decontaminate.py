@@ -5,9 +5,11 @@ A window is n consecutive words of an item; an item of fewer words, but not none
 1. The distinct windows of all items, each with its hash and the ids of its items: the hash set, whose size the
    benchmark bounds. It is broadcast while it has at most BROADCAST_WINDOWS rows, which is counted; beyond that the
    same join shuffles.
-2. One scan of the texts. Window hashes come from word hashes by doubling (1, 2, 4, 8 words), so a window costs a few
-   operations however long it is. They are laid out as rows and meet the hash set inside one code-generated stage;
-   only those that meet go on. A sentinel for each text meets a sentinel in the set, so that texts without hits stay.
+2. One scan of the texts. Each word lays out a row, which holds its position and refers to its text's words. While the
+   set is broadcast, it meets it inside one code-generated stage: first by the hash of the HEAD words that begin there
+   (of fewer, if the shortest window has fewer), then, where this head begins some window, by the hash of the whole
+   window. Beyond that all whole windows shuffle. A sentinel for each text meets a sentinel in either set, so that texts
+   without hits stay. Lambdas (`transform`, `filter`, `zip_with`) are left out on purpose: Spark interprets them.
 3. What is left is verified: the window's own words are held against the words in the set.
 4. Verified hits are gathered by text row. The words that hits cover can be marked, cut out, or their texts dropped.
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 BROADCAST_WINDOWS = 2_000_000
 BROADCAST_TEXTS = 1_000_000
+HEAD = 4
 _SENTINEL = 0x5EED
 #: What separates words, in a lower-cased text and in one as it is.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,34 +39,12 @@ _GAP_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 def words(text: Column) -> Column:
     """The lower-cased words of a text, in order; none for null."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, _GAP), lambda w: w != "")
+    return F.array_remove(F.split(low, _GAP), "")
 
 
-def _shift(a: Column, k: int) -> Column:
-    return F.slice(a, k + 1, F.greatest(F.size(a) - F.lit(k), F.lit(0)))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-
-
-def with_window_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds h<L>, the hashes of all windows of L words, for each L in lengths; `words` is there. Past the last whole window they mean nothing."""
-    df = df.withColumn("_p1", F.transform("words", lambda w: F.xxhash64(w)))
-    top = max(lengths, default=1)
-    k = 1
-    while 2 * k <= top:
-        df = df.withColumn(f"_p{2 * k}", _pair(F.col(f"_p{k}"), _shift(F.col(f"_p{k}"), k)))
-        k *= 2
-    for n in lengths:
-        have, at, left = None, 0, n
-        for p in (1 << b for b in reversed(range(n.bit_length()))):
-            if left >= p:
-                part = F.col(f"_p{p}") if at == 0 else _shift(F.col(f"_p{p}"), at)
-                have = part if have is None else _pair(have, part)
-                at, left = at + p, left - p
-        df = df.withColumn(f"h{n}", have)
-    return df
+def _hash(at: Column, n: Column) -> Column:
+    """The hash of the n of `words` from position `at`, which counts from 0; a sentinel where `at` is less."""
+    return F.when(at < 0, F.lit(_SENTINEL).cast("long")).otherwise(F.xxhash64(F.slice("words", F.greatest(at, F.lit(0)) + 1, n)))
 
 
 def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -80,35 +61,29 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     grams = item_windows(items, window, item_id_col, item_text_col)
     sized = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     lengths = sorted(sized)
-    hashed = with_window_hashes(grams.withColumn("words", F.split("gram", " ")), lengths)
-    own = F.coalesce(*[F.when(F.col("len") == n, F.element_at(F.col(f"h{n}"), 1)) for n in lengths], F.lit(None).cast("long"))
-    hash_set = hashed.select(own.alias("h"), "len", "gram", "items")
-    hash_set = hash_set.unionByName(docs.sparkSession.range(1).select(F.lit(_SENTINEL).cast("long").alias("h"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<string>").alias("items")))
-    small = sum(sized.values()) <= BROADCAST_WINDOWS
-    if small:
-        hash_set = F.broadcast(hash_set)
+    head = F.lit(min([HEAD, *lengths]))
+    keyed = grams.withColumn("words", F.split("gram", " ")).select(_hash(F.lit(0), F.col("len")).alias("h"), _hash(F.lit(0), head).alias("head"), "len", "gram", "items")
+    sentinel = F.lit(_SENTINEL).cast("long")
+    hash_set = keyed.unionByName(docs.sparkSession.range(1).select(sentinel.alias("h"), sentinel.alias("head"), F.lit(0).alias("len")), allowMissingColumns=True)
 
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), words(text).alias("words"))
-    scan = with_window_hashes(base.withColumn("_row", F.monotonically_increasing_id()), lengths)
-    sentinel = F.lit(_SENTINEL).cast("long")
-    whole = {n: F.slice(f"h{n}", 1, F.greatest(F.size("words") - (n - 1), F.lit(0))) for n in lengths}
+    scan = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("text_size"), words(text).alias("words")).withColumn("_row", F.monotonically_increasing_id())
     narrow = ["_row", "_id", "text_hash", "text_size", "words"]
-    if len(lengths) <= 1:  # the common case lays out plain longs; slot 0 is the sentinel
-        longs = F.concat(F.array(sentinel), *whole.values())
-        rows = scan.select(*narrow, longs.alias("_hs")).select(*narrow, F.posexplode("_hs").alias("_slot", "h")).withColumn("_at", F.col("_slot") - 1).withColumn("_len", F.lit(max(lengths, default=0)))
+    last = F.greatest(F.size("words") - lengths[0], F.lit(-1)) if lengths else F.lit(-1)  # where the last of the shortest windows begins
+    rows = scan.select(*narrow, F.explode(F.sequence(F.lit(-1), last)).alias("_at"))
+    small = sum(sized.values()) <= BROADCAST_WINDOWS
+    if small:
+        rows = rows.withColumn("head", _hash(F.col("_at"), head)).join(F.broadcast(hash_set.select("head").distinct()), "head", "left_semi").drop("head")
+    if len(lengths) <= 1:  # the common case
+        rows = rows.withColumn("_len", F.lit(max(lengths, default=0)))
     else:
-
-        def laid(n: int) -> Column:
-            return F.transform(whole[n], lambda h, i: F.struct(F.lit(n).alias("len"), i.alias("at"), h.alias("h")))
-
-        first = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("at"), sentinel.alias("h")))
-        rows = scan.select(*narrow, F.concat(first, *[laid(n) for n in lengths]).alias("_hs")).select(*narrow, F.explode("_hs").alias("_w")).select(*narrow, F.col("_w.at").alias("_at"), F.col("_w.len").alias("_len"), F.col("_w.h").alias("h"))
-    own_gram = F.array_join(F.slice("words", F.col("_at") + 1, F.greatest("_len", F.lit(0))), " ")
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+        rows = rows.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.when(F.col("_at") < 0, F.col("_len") == lengths[0]).otherwise(F.col("_at") + F.col("_len") <= F.size("words")))
+    rows = rows.withColumn("h", _hash(F.col("_at"), F.col("_len"))).withColumn("n_words", F.size("words").cast("long"))
+    own_gram = F.array_join(F.slice("words", F.greatest("_at", F.lit(0)) + 1, F.col("_len")), " ")
     if not small:  # a shuffled window takes its own words along, not its text's
         rows = rows.withColumn("_gram", F.when(F.col("_at") >= 0, own_gram)).drop("words")
-    met = rows.join(hash_set, "h")
+    hash_set = hash_set.drop("head")
+    met = rows.join(F.broadcast(hash_set) if small else hash_set, "h")
     true_hit = (F.col("_at") >= 0) & (F.col("len") == F.col("_len")) & ((own_gram if small else F.col("_gram")) == F.col("gram"))
     checked = met.select("_row", "_id", "text_hash", "text_size", "n_words", F.when(true_hit, F.sequence(F.col("_at"), F.col("_at") + F.col("_len") - 1)).alias("span"), F.when(true_hit, F.col("items")).alias("items"))
     # hits of a row are a few a word at most; the words they cover and their items come out as sets

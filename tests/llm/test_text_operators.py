@@ -80,6 +80,37 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert decontaminate.remove(docs(spark), bench).count() == len(ODD) - 2
 
 
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+@pytest.mark.parametrize("shortest", [1, 3, 10])
+def test_decontamination_by_heads(spark, monkeypatch, shortest, broadcast):
+    """Few words, so that many heads begin no window there; windows at either end of a text, and texts shorter than all of them."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    rng = random.Random(shortest)
+    passage = lambda n: [rng.choice("abÉé") for _ in range(n)]
+    items = [(i, " ".join(passage(n))) for i, n in enumerate([shortest, 10, 10, 11, 14])]
+    ends = [items[1][1], items[4][1] + "!", "\n" + items[4][1].upper().replace("É", "é")]
+    heads = [" ".join(t.split()[:n]) for _, t in items for n in (3, 4, 5, 9)]
+    near = [" ".join([*items[3][1].split()[:9], w]) for w in "abÉéc"]
+    rows = list(enumerate([*ends, *heads, *near, *[" - ".join(passage(n)) for n in range(30)], "", None]))
+    got = decontaminate.find(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got), key=str) == brute_hits(rows, items)
+
+
+@pytest.mark.parametrize("items", [["1 2 3 4 5 6 7 8 9 10 11"], ["1 2 3", "1 2 3 4 5 6 7 8 9 10 11"]])
+def test_decontamination_in_generated_code(spark, items):
+    """Lambdas are interpreted a word at a time: they took 822 CPU seconds a GB in the check, over its budget of 800."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = decontaminate.find(docs(spark), bench)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "lambdafunction" not in plan and "LeftSemi" in plan
+    laid_out = [x for x in plan.splitlines() if "Generate explode(sequence(-1" in x or "BroadcastHashJoin" in x]
+    stages = [re.search(r"\*\((\d+)\)", x) for x in laid_out]
+    assert len(stages) == 3 and all(stages) and len({x[1] for x in stages}) == 1
+
+
 # --- Jaccard join ---
 def brute_groups(rows, k=4, percent=85):
     sets = []
